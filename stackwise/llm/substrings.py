@@ -43,15 +43,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> Dat
     docs = without(docs, "kept_text", "n_words", "n_removed", "__row", "__text")
     table = bucketed(docs.withColumns({"__row": F.monotonically_increasing_id(), "__text": F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))}), "__row")
     texts = table.select("__row", F.col("__text").alias("text"))
-    fan = 8 * partitions(spark)
+    fan = partitions(spark)
 
     anchors = texts.mapInArrow(_anchors(window - PERIOD + 1, fan), "bucket int, known boolean, body binary")
-    twice = anchors.repartition(partitions(spark), "bucket").mapInArrow(_repeated_anchors, "__row long, at int")
+    twice = anchors.repartitionById(fan, "bucket").mapInArrow(_repeated_anchors, "__row long, at int")
     twice = materialise(twice.groupBy("__row").agg(F.collect_list("at").alias("anchors")))
 
     held = texts.join(twice.hint("shuffle_hash"), "__row")
     windows = held.mapInArrow(_windows(window, fan), "bucket int, body binary, row long, start int, stop int")
-    runs = windows.repartition(partitions(spark), "bucket").mapInArrow(_repeated_windows(window), "__row long, start int, stop int")
+    runs = windows.repartitionById(fan, "bucket").mapInArrow(_repeated_windows(window), "__row long, start int, stop int")
     runs = materialise(runs.groupBy("__row").agg(F.collect_list("start").alias("__starts"), F.collect_list("stop").alias("__stops")))
 
     joined = table.join(runs.hint("shuffle_hash"), "__row", "left")
