@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, neardup, phrases, substrings, tokens
+from . import decontaminate, language, mixing, neardup, phrases, pii, secrets, spans, substrings, threads, tokens
 from .common import documents
 
 
+def _digest(found: DataFrame, added: str, kinds: tuple[str, ...]) -> DataFrame:
+    """The contract's columns of a scan: counts and hash of the base spans, then all spans."""
+    base, n = F.col("base"), len(kinds) - 1
+    counts = [spans.count(base, k).alias(f"n_{kinds[k]}") for k in range(n)]
+    return found.select("doc_id", *counts, F.sha2(spans.written(base, kinds), 256).alias("base_sha256"), spans.written(spans.ordered("base", added), kinds).alias("spans"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(documents(spark, sf_dir).select("doc_id", "text"))
+    return _digest(found, "terms", (*pii.KINDS, "removed_term")).drop("n_term")
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(secrets.scan(documents(spark, sf_dir).select("doc_id", "source", "text")), "live", secrets.KINDS)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -24,6 +40,10 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.spliced(documents(spark, sf_dir))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads.link_quotes(documents(spark, sf_dir, "conversations"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = language.identify(docs.select("doc_id", "text"), language.train(docs))
@@ -37,12 +57,59 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_benchmark_decontamination, op4_substring_dedup, op5_document_fingerprints, op7_language_id, op8_token_counts, op10_simhash_near_dedup)
+    for f in (
+        op1_benchmark_decontamination,
+        op2_pii,
+        op3_secret_scans,
+        op4_substring_dedup,
+        op5_document_fingerprints,
+        op6_chat_formatting,
+        op7_language_id,
+        op8_token_counts,
+        op9_mix_sources,
+        op10_simhash_near_dedup,
+    )
+}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        s AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+        h AS (SELECT s.r, s.i, sha256(array_to_string(d.w[s.i : s.i + 34], ' ')) AS h FROM s JOIN d USING (r)),
+        twice AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM h SEMI JOIN twice USING (h)),
+        lost AS (SELECT r, list(i) AS g FROM gone GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+            sha256(array_to_string(CASE WHEN g IS NULL THEN w
+                ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN lost USING (r)""",
+    "op9_mix_sources": f"""
+        WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+            ('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 15))::BIGINT AS h FROM documents),
+        t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        k AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM t),
+        c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, row_number() OVER (ORDER BY source_size * 2.0 / w, source NULLS LAST) AS n FROM k),
+        f AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE
+            - coalesce(sum(cap) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM c),
+        g AS (SELECT *, least(cap, w * min_by(rate, n) FILTER (rate * w <= cap) OVER ()) AS target FROM f),
+        b AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS fl FROM g),
+        r AS (SELECT *, round(target - fl * source_size)::BIGINT AS need FROM b),
+        x AS (SELECT d.*, source_size, target, fl, need, sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto,
+            sum(size) OVER (PARTITION BY d.source, h) AS tied FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+        SELECT doc_id, size, source_size, target, (fl * size + CASE WHEN upto <= need THEN size
+            WHEN upto - tied < need THEN floor(size * (need - (upto - tied)) / tied) ELSE 0 END)::BIGINT AS taken FROM x""",
 }
-ORACLE_SQL: dict[str, str] = {}
