@@ -1,4 +1,505 @@
-"""Registered queries of the catalogue operators and their DuckDB SQL."""
+"""Registered queries of the catalogue operators and their DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Queries run over whole tables.  The SQL is written from the values of the projection, not from the
+record operators: it answers relationally what they answer on nested fields.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import expr as E
+from ..functions import udfs
+from ..operators import matching, reports, tasks
+from ..types import FIELDS_DDL
+from .projection import SQL, bib
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str) -> Callable:
+    """Registers a query under its function's name, with the SQL that follows the projection's."""
+
+    def note(f: Callable) -> Callable:
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, SQL + sql
+        return f
+
+    return note
+
+
+def columns(spark: SparkSession, sf_dir: str, **found: str | Column) -> DataFrame:
+    """record_no and named expressions over the projection."""
+    return bib(spark, sf_dir).select("record_no", *[(F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in found.items()])
+
+
+def call(name: str, *args: str) -> Column:
+    return udfs.call(name, *args)
+
+
+def at(spec: str) -> str:
+    return E.place("fields", spec)
+
+
+def breaker_of(fields: Column | str) -> Column:
+    """Fields as breaker lines, without the leader line."""
+    return F.expr("1") if fields is None else F.element_at(F.split(call("marc_to_breaker", "leader", fields), "\n", 2), 2)
+
+
+# ---- profiles --------------------------------------------------------------------------------
+
+_TAGS = ", t AS (SELECT k, unnest(tags) AS tag FROM b) "
+
+
+@query(_TAGS + "SELECT tag, count(*)::BIGINT AS count, count(DISTINCT k)::BIGINT AS records_with, round(100.0::DOUBLE * count(DISTINCT k) / (SELECT count(*) FROM b), 1) AS pct_records FROM t GROUP BY tag")
+def report_tags(spark, sf_dir):
+    return reports.report_tags(bib(spark, sf_dir))
+
+
+@query("SELECT code, count(*)::BIGINT AS count, count(*)::BIGINT AS records_with FROM (SELECT unnest(list_concat(list_concat(['a'], CASE WHEN k % 4 = 0 THEN ['e'] ELSE [] END), CASE WHEN k % 7 = 0 THEN ['0'] ELSE [] END)) AS code FROM b) GROUP BY code")
+def report_subfields(spark, sf_dir):
+    return reports.report_subfields(bib(spark, sf_dir), "100")
+
+
+@query("SELECT 'part' AS file, k AS record_no, ctl AS control_number, k % 17 <> 0 AS has_title, true AS has_author, true AS has_subject, true AS has_isbn, true AS has_language, true AS has_publication, true AS has_physical, (CASE WHEN k % 17 <> 0 THEN 100 ELSE 70 END)::INT AS completeness FROM b")
+def report_completeness(spark, sf_dir):
+    return reports.report_completeness(bib(spark, sf_dir))
+
+
+@query("SELECT 'part' AS file, k AS record_no, ctl AS control_number, 'no 245 (title) field' AS violation FROM b WHERE k % 17 = 0")
+def report_errors(spark, sf_dir):
+    return reports.report_errors(bib(spark, sf_dir))
+
+
+_SIZES = ", z AS (SELECT k, leader, len(tags) AS f, len(list_distinct(tags)) AS d, (len(tags) + (k % 4 = 0)::INT * 2 + (k % 7 = 0)::INT + (k % 17 <> 0)::INT * 2 + 1 + 2 + 2 + 1 + (k % 3 = 1)::INT) AS n FROM b) "
+
+
+@query(_SIZES + """SELECT count(*)::BIGINT AS records, 1::BIGINT AS files, sum(f)::BIGINT AS total_fields, sum(n)::BIGINT AS total_subfields, min(f)::BIGINT AS min_fields, max(f)::BIGINT AS max_fields, round(avg(f), 2) AS mean_fields, round(stddev_samp(f), 2) AS stddev_fields,
+ min(n)::BIGINT AS min_subfields, max(n)::BIGINT AS max_subfields, round(avg(n), 2) AS mean_subfields, round(stddev_samp(n), 2) AS stddev_subfields, round(avg(d), 2) AS mean_distinct_tags, sum((leader[10] <> 'a')::INT)::BIGINT AS marc8_records FROM z""")
+def summary(spark, sf_dir):
+    return reports.summary(bib(spark, sf_dir))
+
+
+@query(_TAGS + """, r AS (SELECT k, tag, count(*) AS n FROM t GROUP BY k, tag), w AS (SELECT *, n * CASE tag WHEN '245' THEN 3 WHEN '260' THEN 3 WHEN '264' THEN 3 WHEN '300' THEN 3 WHEN '050' THEN 2 WHEN '040' THEN 1 + (k % 4 = 0)::INT
+ WHEN '100' THEN 1 + (k % 4 = 0)::INT + (k % 7 = 0)::INT WHEN '856' THEN 1 + (k % 3 = 1)::INT ELSE 1 END + (tag = '650')::INT AS s FROM r)
+ SELECT tag, sum(n)::BIGINT AS total_occurrences, count(*)::BIGINT AS records_with, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM b), 1) AS pct_records, min(n)::BIGINT AS min_per_record, max(n)::BIGINT AS max_per_record, round(avg(n), 2) AS mean_per_record, round(stddev_samp(n), 2) AS stddev_per_record, round(sum(s)::DOUBLE / sum(n), 2) AS mean_subfields_per_field FROM w GROUP BY tag""")
+def summary_fields(spark, sf_dir):
+    return reports.summary_fields(bib(spark, sf_dir))
+
+
+@query(", v AS (SELECT unnest([['a', t1 || ' :'], ['b', t2 || ' /'], ['c', tc]]) AS x FROM b WHERE t1 IS NOT NULL) SELECT x[1] AS code, count(*)::BIGINT AS occurrences, count(*)::BIGINT AS records_with, min(strlen(x[2]))::INT AS min_len, max(strlen(x[2]))::INT AS max_len, round(avg(strlen(x[2])), 1) AS mean_len, round(stddev_samp(strlen(x[2])), 1) AS stddev_len FROM v GROUP BY 1")
+def summary_subfields(spark, sf_dir):
+    return reports.summary_subfields(bib(spark, sf_dir), "245")
+
+
+@query("SELECT 'part' AS file, k AS record_no, ctl AS control_number, url AS uri, CASE WHEN k % 3 = 1 THEN 'Online' END AS link_text, NULL::VARCHAR AS materials, 'https' AS scheme, 'host' || (k % 10) || '.example.org' AS host FROM b")
+def check_urls(spark, sf_dir):
+    return reports.check_urls(bib(spark, sf_dir))
+
+
+@query(_TAGS + "SELECT k AS record_no, count(*)::BIGINT AS fields, string_agg(tag, ' ' ORDER BY tag) AS tags FROM t GROUP BY k")
+def read_fields(spark, sf_dir):
+    each = reports.to_fields(bib(spark, sf_dir))
+    return each.groupBy("record_no").agg(F.count("*").alias("fields"), F.array_join(F.array_sort(F.collect_list("tag")), " ").alias("tags"))
+
+
+@query(_SIZES + "SELECT k AS record_no, n::BIGINT AS subfields FROM z")
+def read_subfields(spark, sf_dir):
+    return reports.to_subfields(bib(spark, sf_dir)).groupBy("record_no").agg(F.count("*").alias("subfields"))
+
+
+# ---- navigation and fixed fields -------------------------------------------------------------
+
+
+@query("SELECT k AS record_no, kind AS record_type, level AS bib_level, CASE WHEN k % 2 = 0 THEN 'utf8' ELSE 'marc8' END AS encoding, ctl AS control, 'eng' AS language, t1 || ' :' AS title, list_count(list_filter(tags, lambda t: t = '650'))::INT AS subjects, concat_ws('|', p_type || '.', CASE WHEN k % 3 = 0 THEN 'Things, ' || p_type END) AS all_subjects, '=100  1\\$a' || p_brand || ',' || CASE WHEN k % 4 = 0 THEN '$eauthor' ELSE '' END || CASE WHEN k % 7 = 0 THEN '$0http://id.loc.gov/authorities/names/n' || k ELSE '' END AS main_entry FROM b")
+def navigation(spark, sf_dir):
+    first = "get(filter(fields, f -> f.tag = '100'), 0)"
+    return columns(
+        spark, sf_dir, record_type=E.record_type("leader"), bib_level=E.bib_level("leader"), encoding=E.encoding_scheme("leader"), control=E.control_field("fields", E.q("001")),
+        language=E.control_pos(E.control_field("fields", E.q("008")), 35, 3), title=at("245a"), subjects=f"size({E.fields_of('fields', E.q('650'))})", all_subjects=f"array_join({E.subfields('fields', E.q('650'), E.q('a'))}, '|')", main_entry=E.given("g", first, E.fieldbreak("g")),
+    )
+
+
+@query("SELECT k AS record_no, 0::INT AS record_length, 'n' AS status, kind AS type, level AS bib_level, CASE WHEN k % 2 = 0 THEN 'utf8' ELSE 'marc8' END AS encoding, 0::INT AS base_address, ' ' AS encoding_level, CASE WHEN k % 4 = 0 THEN 'i' ELSE 'a' END AS cataloging_form FROM b")
+def leader_struct(spark, sf_dir):
+    return columns(spark, sf_dir, s=E.leader_struct("leader")).select("record_no", *[f"s.{c}" for c in ("record_length", "status", "type", "bib_level", "encoding", "base_address", "encoding_level", "cataloging_form")])
+
+
+@query("SELECT k AS record_no, '240101' AS date_entered, 's' AS date_type, year AS date1, '    ' AS date2, 'xxu' AS place, 'eng' AS language, 'd' AS cataloging_source, CASE WHEN kind = 'a' AND level = 'm' THEN '    ' END AS illustrations FROM b")
+def fixed_008(spark, sf_dir):
+    found = columns(spark, sf_dir, s=E.struct_008("leader", "fields"))
+    return found.select("record_no", *[f"s.{c}" for c in ("date_entered", "date_type", "date1", "date2", "place", "language", "cataloging_source")], F.col("s.books.illustrations").alias("illustrations"))
+
+
+@query("SELECT k AS record_no, 'bibliographic' AS format, CASE WHEN k % 17 = 0 THEN 'no 245 (title) field' ELSE '' END AS violations, CASE WHEN k % 3 = 0 THEN '001 without 003: FOLIO qualifies the 001 control number by the 003 source' || CASE WHEN k % 2 <> 0 THEN '|' ELSE '' END ELSE '' END || CASE WHEN k % 2 <> 0 THEN 'leader/09 is not ''a'': FOLIO expects UTF-8 encoded records' ELSE '' END AS folio FROM b")
+def validate(spark, sf_dir):
+    return columns(spark, sf_dir, format=E.format_of("leader"), violations=f"array_join({E.validate('leader', 'fields')}, '|')", folio=f"array_join({E.folio_check('leader', 'fields')}, '|')")
+
+
+@query("SELECT k AS record_no, '=LDR  ' || leader || chr(10) || '=001  ' || ctl || chr(10) || '=020  \\\\$a' || isbn AS text FROM b")
+def recordbreak(spark, sf_dir):
+    return columns(spark, sf_dir, text=E.recordbreak("leader", "filter(fields, f -> f.tag IN ('001', '020'))"))
+
+
+@query("SELECT k AS record_no, ctl AS id, isbn AS isbn, split_part(url, '/', 3) AS host, year AS year, level || kind AS reversed, '1 ' AS indicators, p_brand || ',' || CASE WHEN k % 4 = 0 THEN '|author' ELSE '' END AS name FROM b")
+def spec(spark, sf_dir):
+    of = lambda s: f"array_join(spec_{s}, '|')"
+    made = bib(spark, sf_dir).withColumns({f"spec_{n}": call("marc_spec", "leader", "fields", E.q(s)) for n, s in {"id": "001", "isbn": "02.$a", "url": "856$u[0]", "year": "008/7-10", "kind": "LDR/6", "level": "LDR/7", "i1": "100^1", "i2": "100^2", "name": "1..[0]$a$e"}.items()})
+    return made.select("record_no", F.expr(of("id")).alias("id"), F.expr(of("isbn")).alias("isbn"), F.expr(f"split_part({of('url')}, '/', 3)").alias("host"), F.expr(of("year")).alias("year"), F.expr(f"concat({of('level')}, {of('kind')})").alias("reversed"), F.expr(f"concat({of('i1')}, {of('i2')})").alias("indicators"), F.expr(of("name")).alias("name"))
+
+
+# ---- crosswalks ------------------------------------------------------------------------------
+
+_TITLE = "t1 || ' : ' || t2"
+
+
+@query(f"SELECT k AS record_no, {_TITLE} AS title, p_brand AS creator, concat_ws('|', p_type, CASE WHEN k % 3 = 0 THEN 'Things, ' || p_type END) AS subject, p_brand || ' Press' AS publisher, CASE WHEN k % 8 = 0 THEN 'Helper, ' || p_brand ELSE '' END AS contributor, 'c' || year AS date, CASE kind WHEN 'a' THEN 'text' ELSE 'sound recording-musical' END AS type, p_size || ' p' AS format, isbn || '|' || url AS identifier, 'eng' AS language FROM b")
+def dublin_core(spark, sf_dir):
+    found = columns(spark, sf_dir, d=E.dublin_core("leader", "fields"))
+    one = lambda c: F.array_join(f"d.{c}", "|").alias(c)
+    return found.select("record_no", "d.title", "d.creator", one("subject"), "d.publisher", one("contributor"), "d.date", "d.type", "d.format", one("identifier"), "d.language")
+
+
+@query(f"SELECT k AS record_no, {_TITLE} || ' / ' || regexp_replace(tc, '\\.$', '') AS title, p_brand || CASE WHEN k % 8 = 0 THEN '|Helper, ' || p_brand ELSE '' END AS contributors, isbn AS isbn, CASE WHEN k % 10 = 0 THEN '[S.l.]' ELSE 'Anytown' END AS place, CASE WHEN k % 6 = 0 THEN '2nd ed' END AS edition, p_size || ' p' AS physical_description FROM b")
+def instance(spark, sf_dir):
+    found = columns(spark, sf_dir, i=E.instance("leader", "fields"))
+    return found.select("record_no", "i.title", F.array_join("i.contributors", "|").alias("contributors"), F.expr("get(filter(i.identifiers, x -> x.type = 'isbn'), 0).value").alias("isbn"), "i.publication.place", "i.edition", "i.physical_description")
+
+
+@query(f"""SELECT k AS record_no, array_to_string(list_filter([{_TITLE} || ' / ' || regexp_replace(tc, '\\.$', ''), CASE WHEN k % 6 = 0 THEN '2nd ed' END,
+ rtrim(pa, ' :') || ' : ' || rtrim(pb, ',') || ', c' || year, p_size || ' p : ill ; 23 cm', 'ISBN ' || isbn], lambda x: x IS NOT NULL), '. — ') AS isbd FROM b""")
+def isbd(spark, sf_dir):
+    return columns(spark, sf_dir, isbd=E.isbd("leader", "fields"))
+
+
+@query("SELECT k AS record_no, '00000n' || kind || level || '0 2200000 ' || CASE WHEN k % 4 = 0 THEN ' ' ELSE ' ' END || ' 450 ' AS label, '00000n' || kind || level || ' a2200000 i 4500' AS back FROM b")
+def unimarc_label(spark, sf_dir):
+    return columns(spark, sf_dir, label=E.unimarc_label("leader"), back=E.from_unimarc_label(E.unimarc_label("leader")))
+
+
+def _json(value: str) -> str:
+    return f"'\"' || {value} || '\"'"
+
+
+@query(f"""SELECT k AS record_no, '{{"@context":"https://schema.org","@type":"' || CASE WHEN kind = 'j' THEN 'MusicRecording' WHEN level = 's' THEN 'Periodical' ELSE 'Book' END || '"' || CASE WHEN t1 IS NULL THEN '' ELSE ',"name":' || {_json(_TITLE)} END
+ || ',"author":{{"@type":"Person","name":' || {_json('p_brand')} || '}}' || CASE WHEN k % 8 = 0 THEN ',"contributor":[{{"@type":"Person","name":"Helper, ' || p_brand || '"}}]' ELSE '' END || ',"publisher":{{"@type":"Organization","name":"' || p_brand || ' Press"}},"datePublished":"c' || year || '","inLanguage":"eng","about":["' || p_type || '"'
+ || CASE WHEN k % 3 = 0 THEN ',"Things, ' || p_type || '"' ELSE '' END || ']' || CASE WHEN isbn_ok THEN ',"isbn":"' || isbn || '"' ELSE '' END || ',"url":["' || url || '"]' || CASE WHEN k % 7 = 0 THEN ',"sameAs":["http://id.loc.gov/authorities/names/n' || k || '"]' ELSE '' END || '}}' AS text FROM b""")
+def jsonld(spark, sf_dir):
+    return columns(spark, sf_dir, text=call("marc_jsonld", "leader", "fields"))
+
+
+@query(f"""SELECT k AS record_no, '<mods xmlns="http://www.loc.gov/mods/v3">' || CASE WHEN t1 IS NULL THEN '' ELSE '<titleInfo><title>' || {_TITLE} || '</title></titleInfo>' END || '<name><namePart>' || p_brand || '</namePart></name>' || CASE WHEN k % 8 = 0 THEN '<name><namePart>Helper, ' || p_brand || '</namePart></name>' ELSE '' END
+ || '<typeOfResource>' || CASE kind WHEN 'a' THEN 'text' ELSE 'sound recording-musical' END || '</typeOfResource><originInfo><place><placeTerm type="text">' || rtrim(pa, ' :') || '</placeTerm></place><publisher>' || p_brand || ' Press</publisher><dateIssued>c' || year || '</dateIssued></originInfo><language><languageTerm type="code" authority="iso639-2b">eng</languageTerm></language><physicalDescription><extent>' || p_size || ' p</extent></physicalDescription>'
+ || '<subject><topic>' || p_type || '</topic></subject>' || CASE WHEN k % 3 = 0 THEN '<subject><topic>Things, ' || p_type || '</topic></subject>' ELSE '' END || '<identifier type="isbn">' || isbn || '</identifier></mods>' AS text FROM b""")
+def mods_xml(spark, sf_dir):
+    return columns(spark, sf_dir, text=call("marc_mods_xml", "leader", "fields"))
+
+
+@query("""SELECT k AS record_no, '{"@type":"bf:Title","bf:mainTitle":"' || t1 || '","bf:subtitle":"' || t2 || '"}' AS title, '{"@type":"bf:Publication","bf:place":{"@type":"bf:Place","rdfs:label":"' || rtrim(pa, ' :') || '"},"bf:agent":{"@type":"bf:Agent","rdfs:label":"' || p_brand || ' Press"},"bf:date":"' || year || '"}' AS provision,
+ '{"@type":"bf:Isbn","rdf:value":"' || isbn || '"}' AS identifier, '{"@type":["bf:Contribution","bflc:PrimaryContribution"],"bf:agent":{"@type":"bf:Person","rdfs:label":"' || p_brand || '"}' || CASE WHEN k % 4 = 0 THEN ',"bf:role":{"@type":"bf:Role","rdfs:label":"author"}' ELSE '' END || '}' AS contribution,
+ '{"@type":"bf:Topic","rdfs:label":"' || p_type || '--Catalogues"}' AS subject, 'eng' AS language, CASE kind WHEN 'a' THEN 'bf:Text' ELSE 'bf:Audio' END AS work_type, '{"@context"' AS opening FROM b""")
+def bibframe(spark, sf_dir):
+    made = bib(spark, sf_dir).withColumns({"provision": call("marc_bf_provision", call("marc_bf_pubfield", "fields")), "ids": call("marc_bf_idents", "fields"), "contribs": call("marc_bf_contribs", "fields"), "subjects": call("marc_bf_subjects", "fields")})
+    return made.select("record_no", call("marc_bf_title", "fields").alias("title"), "provision", F.expr("get(ids, 0)").alias("identifier"), F.expr("get(contribs, 0)").alias("contribution"), F.expr("get(subjects, 0)").alias("subject"), call("marc_bf_lang", "fields").alias("language"), call("marc_bf_worktype", "leader").alias("work_type"), F.substring(call("marc_bibframe_jsonld", "leader", "fields"), 1, 11).alias("opening"))
+
+
+@query("SELECT k AS record_no, CASE WHEN k % 7 = 0 THEN '100$0 http://id.loc.gov/authorities/names/n' || k ELSE '' END AS uris, CASE WHEN k % 7 = 0 THEN 'http://id.loc.gov/authorities/names/n' || k ELSE '' END AS lc, '' AS viaf, '' AS fast FROM b")
+def linked_ids(spark, sf_dir):
+    return columns(spark, sf_dir, uris=f"array_join(transform({E.uris('fields')}, u -> concat(u.tag, '$', u.code, ' ', u.uri)), '|')", lc=f"array_join({E.ids_lc('fields')}, '|')", viaf=f"array_join({E.ids_viaf('fields')}, '|')", fast=f"array_join({E.ids_fast('fields')}, '|')")
+
+
+@query("SELECT k AS record_no, json_extract_string(json_object('leader', leader), '$.leader') AS leader, ctl AS id, true AS absent FROM b")
+def variant(spark, sf_dir):
+    found = columns(spark, sf_dir, v=E.variant("leader", "fields"))
+    return found.select("record_no", F.expr("variant_get(v, '$.leader', 'string')").alias("leader"), F.expr("variant_get(v, '$.fields[0].value', 'string')").alias("id"), F.expr("variant_get(v, '$.fields[0].ind1', 'string') IS NULL").alias("absent"))
+
+
+# ---- identifiers, headings, call numbers -----------------------------------------------------
+
+
+@query("SELECT k AS record_no, CASE WHEN isbn_ok THEN isbn END AS isbn, CASE WHEN k > 0 THEN k::VARCHAR END AS oclc, CASE WHEN k > 0 THEN '85' || lpad(k::VARCHAR, 6, '0') ELSE '85000000' END AS lccn, CASE WHEN (11 - list_sum(list_transform(range(1, 8), lambda i: lpad(k::VARCHAR, 7, '0')[i]::INT * (9 - i))) % 11) % 11 < 10 THEN left(lpad(k::VARCHAR, 7, '0'), 4) || '-' || right(lpad(k::VARCHAR, 7, '0'), 3) || ((11 - list_sum(list_transform(range(1, 8), lambda i: lpad(k::VARCHAR, 7, '0')[i]::INT * (9 - i))) % 11) % 11)::BIGINT END AS issn FROM b")
+def identifiers(spark, sf_dir):
+    digits = "lpad(CAST(record_no AS string), 7, '0')"
+    check = f"((11 - aggregate(sequence(1, 7), 0, (n, i) -> n + CAST(substring({digits}, i, 1) AS INT) * (9 - i)) % 11) % 11)"
+    return columns(spark, sf_dir, isbn=call("marc_isbn13", f"concat('ISBN ', {at('020a')}, ' (pbk.)')"), oclc=call("marc_oclc", "concat('(OCoLC)ocm', lpad(CAST(record_no AS string), 8, '0'))"), lccn=call("marc_lccn", "concat('85-', record_no)"), issn=call("marc_issn", f"concat({digits}, {check})"))
+
+
+_NACO = "nullif(trim(regexp_replace(regexp_replace(upper({}), '[, ]+', ' ', 'g'), '[^A-Z0-9 &]', '', 'g')), '')"
+_HEADINGS = """, h AS (SELECT k, unnest(list_filter([p_brand || ',' || CASE WHEN k % 4 = 0 THEN ' author' ELSE '' END, p_type || '. Catalogues', CASE WHEN k % 3 = 0 THEN 'Things, ' || p_type END, CASE WHEN k % 8 = 0 THEN 'Helper, ' || p_brand END], lambda x: x IS NOT NULL)) AS heading FROM b) """
+
+
+@query(_HEADINGS + f"SELECT heading, count(*)::BIGINT AS n, {_NACO.format('heading')} AS naco FROM h GROUP BY heading")
+def headings(spark, sf_dir):
+    found = matching.each_heading(bib(spark, sf_dir)).groupBy("heading").agg(F.count("*").alias("n"))
+    return found.withColumn("naco", call("marc_naco", "heading"))
+
+
+@query(_HEADINGS + f", f AS (SELECT heading, array_to_string(list_sort(list_distinct(string_split(lower({_NACO.format('heading')}), ' '))), ' ') AS key FROM h) SELECT key, count(*)::BIGINT AS n_headings, count(DISTINCT heading)::BIGINT AS n_variants, array_to_string(list_sort(list_distinct(list(heading))), '|') AS members FROM f GROUP BY key")
+def cluster_headings(spark, sf_dir):
+    return matching.cluster_headings(bib(spark, sf_dir)).withColumn("members", F.array_join("members", "|"))
+
+
+@query(_HEADINGS + "SELECT heading, count(*)::BIGINT AS n_occurrences, 'https://id.loc.gov/authorities/names/suggest2?q=' || url_encode(heading) || '&count=5' AS url FROM h GROUP BY heading")
+def reconcile_headings(spark, sf_dir):
+    return matching.reconcile_headings(bib(spark, sf_dir), "idloc")
+
+
+@query(_HEADINGS + f", g AS (SELECT heading, count(*)::BIGINT AS n_occurrences, {_NACO.format('heading')} AS hk FROM h GROUP BY heading), s AS (SELECT heading, n_occurrences, r_name AS label, round(jaro_winkler_similarity(hk, {_NACO.format('r_name')}), 9) AS similarity FROM g, region), w AS (SELECT *, row_number() OVER (PARTITION BY heading ORDER BY similarity DESC, label) AS rn FROM s) SELECT heading, n_occurrences, label, similarity FROM w WHERE rn <= 3 AND similarity >= 0.4")
+def nearest_headings(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("label"))
+    return matching.nearest_headings(bib(spark, sf_dir), labels, 0.4).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("SELECT k AS record_no, 'QA ' || lpad((k % 900 + 1)::VARCHAR, 4, '0') || '.' || p_size || ' B' || p_size || ' ' || year AS lcc, lpad((k % 900 + 1)::VARCHAR, 3, '0') || '.' || p_size || ' ' || upper(left(p_brand, 3)) AS ddc, true AS cutter FROM b")
+def call_numbers(spark, sf_dir):
+    return columns(spark, sf_dir, lcc=call("marc_lcc_sortkey", f"concat({at('050a')}, ' ', {at('050b')})"), ddc=call("marc_ddc_sortkey", "concat(record_no % 900 + 1, '.', regexp_extract(get(filter(fields, f -> f.tag = '300'), 0).subfields[0].value, '^[0-9]+', 0), '  ', lower(substring(get(filter(fields, f -> f.tag = '100'), 0).subfields[0].value, 1, 3)))"), cutter=call("marc_cutter_valid", f"split_part({at('050b')}, ' ', 1)"))
+
+
+_KEYS = f", m AS (SELECT k, ctl, t1 || ' :' AS title, coalesce({_NACO.format('t1')} || ' ' || {_NACO.format('t2')}, '') || '|' || CASE WHEN isbn_ok THEN isbn ELSE '' END || '|' || year AS mk, {_NACO.format('t1')} || ' ' || {_NACO.format('t2')} AS tk, {_NACO.format('t1')} AS nk FROM b) "
+
+
+@query(_KEYS + "SELECT k AS record_no, mk AS matchkey, tk AS nearest_key FROM m")
+def match_keys(spark, sf_dir):
+    return columns(spark, sf_dir, matchkey=call("marc_matchkey", "fields"), nearest_key=call("marc_nearest_key", "fields"))
+
+
+@query(_KEYS + "SELECT mk AS matchkey, count(*)::BIGINT AS records, string_agg(ctl, '|' ORDER BY k) AS control_numbers FROM m GROUP BY mk HAVING count(*) > 1")
+def task_dedupe_exact(spark, sf_dir):
+    return tasks.dedupe_exact(bib(spark, sf_dir)).select("matchkey", "records", F.array_join("control_numbers", "|").alias("control_numbers"))
+
+
+@query(_KEYS + "SELECT x.k AS record_no_a, y.k AS record_no_b, round(jaro_winkler_similarity(x.nk, y.nk), 9) AS similarity, x.mk = y.mk AS same_matchkey FROM m x JOIN m y ON x.k < y.k AND left(x.tk, 9) = left(y.tk, 9) WHERE jaro_winkler_similarity(x.nk, y.nk) >= 0.93 OR x.mk = y.mk")
+def dedupe_candidates(spark, sf_dir):
+    found = matching.dedupe_candidates(bib(spark, sf_dir), 0.93, block="substring(tkey, 1, 9)")
+    return found.select("record_no_a", "record_no_b", F.round("similarity", 9).alias("similarity"), "same_matchkey")
+
+
+@query(_KEYS + ", s AS (SELECT x.k AS a, y.k AS b, jaro_winkler_similarity(x.tk, y.tk) AS sim, x.mk = y.mk AS same FROM m x JOIN m y ON left(x.tk, 6) = left(y.tk, 6)), w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM s) SELECT a AS record_no_a, b AS record_no_b, round(sim, 9) AS similarity, same AS same_matchkey FROM w WHERE rn <= 6 AND a <> b AND (sim >= 0.8 OR same)")
+def nearest_dupes(spark, sf_dir):
+    found = matching.nearest_dupes(bib(spark, sf_dir), 0.8, block="substring(tkey, 1, 6)")
+    return found.select("record_no_a", "record_no_b", F.round("similarity", 9).alias("similarity"), "same_matchkey")
+
+
+@query(_KEYS + ", s AS (SELECT x.k AS a, y.k AS b, jaro_winkler_similarity(x.tk, y.tk) AS sim FROM m x JOIN m y ON left(x.tk, 6) = left(y.tk, 6) WHERE x.k % 2 = 0 AND y.k % 2 = 1), w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM s) SELECT a AS record_no_q, b AS record_no_t, round(sim, 9) AS similarity FROM w WHERE rn <= 5 AND sim >= 0.8")
+def nearest_matches(spark, sf_dir):
+    records = bib(spark, sf_dir)
+    found = matching.nearest_matches(records.filter("record_no % 2 = 0"), records.filter("record_no % 2 = 1"), 0.8, block="substring(tkey, 1, 6)")
+    return found.select("record_no_q", "record_no_t", F.round("similarity", 9).alias("similarity"))
+
+
+@query("SELECT k AS record_no, p_brand || CASE WHEN k % 4 = 0 THEN ',' || ' author' ELSE ',' END AS heading, p_brand || ' Company' AS authorized FROM b WHERE k % 4 <> 0 AND regexp_replace(p_brand, '[^0-9]', '', 'g')::INT % 2 = 0")
+def authority_flips(spark, sf_dir):
+    records = bib(spark, sf_dir)
+    brands = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand").distinct().filter("CAST(regexp_replace(p_brand, '[^0-9]', '') AS INT) % 2 = 0")
+    one = lambda tag, value: f"named_struct('tag', '{tag}', 'ind1', '2', 'ind2', ' ', 'value', CAST(NULL AS string), 'subfields', array(named_struct('code', 'a', 'value', {value})))"
+    headed = brands.select(F.lit("00000nz  a2200000o  4500").alias("leader"), F.expr(f"array({one('110', "concat(p_brand, ' Company')")}, {one('410', 'p_brand')})").cast(FIELDS_DDL).alias("fields"))
+    return matching.authority_flips(records, headed).select("record_no", "heading", "authorized")
+
+
+# ---- editing ---------------------------------------------------------------------------------
+
+_LINE_020 = "'=020  \\\\$a' || isbn"
+_NAME = "p_brand || ','"
+
+
+def edited(spark, sf_dir, tags: str, name: str, *args: str) -> DataFrame:
+    """record_no and the breaker lines of some fields after an edit."""
+    some = f"filter(fields, f -> f.tag IN ({tags}))"
+    return columns(spark, sf_dir, text=F.element_at(F.split(call("marc_to_breaker", "leader", call(name, some, *args)), "\n", 2), 2))
+
+
+@query(f"SELECT k AS record_no, '=001  ' || ctl || chr(10) || {_LINE_020} || '$qpbk.' || chr(10) AS text FROM b")
+def edit_set_subfield(spark, sf_dir):
+    return edited(spark, sf_dir, "'001', '020'", "marc_set_subfield", "'02.'", "'q'", "'pbk.'")
+
+
+@query("SELECT k AS record_no, '=001  ' || ctl || chr(10) AS text FROM b")
+def edit_remove_fields(spark, sf_dir):
+    return edited(spark, sf_dir, "'001', '020', '050'", "marc_remove_fields", "'0[25]0'".replace("[25]", "."))
+
+
+@query("SELECT k AS record_no, '=001  ' || ctl || chr(10) || '=050  \\4$b.B' || p_size || ' ' || year || chr(10) AS text FROM b")
+def edit_remove_subfield(spark, sf_dir):
+    return columns(spark, sf_dir, text=F.element_at(F.split(call("marc_to_breaker", "leader", call("marc_remove_subfield", "filter(fields, f -> f.tag IN ('001', '020', '050'))", "'0.0'", "'a'")), "\n", 2), 2))
+
+
+@query("SELECT k AS record_no, '=001  B-' || substr(ctl, 2) || chr(10) || '=020  \\\\$a' || isbn || chr(10) AS text FROM b")
+def edit_replace_values(spark, sf_dir):
+    return edited(spark, sf_dir, "'001', '020'", "marc_replace_values", "'0..'", "CAST(NULL AS string)", "'^b(0)'", "'B-$1'")
+
+
+@query(f"SELECT k AS record_no, '=020  \\7$z' || isbn || chr(10) AS text FROM b")
+def edit_indicators_and_codes(spark, sf_dir):
+    some = call("marc_set_indicators", "filter(fields, f -> f.tag = '020')", "'020'", "CAST(NULL AS string)", "'7'")
+    return columns(spark, sf_dir, text=F.element_at(F.split(call("marc_to_breaker", "leader", call("marc_rename_subfield", some, "'020'", "'a'", "'z'")), "\n", 2), 2))
+
+
+@query("SELECT k AS record_no, '020 100 500 700' AS moved, '020 040 100 900' AS copied, '020 100 245' AS swapped, '020 040 100' AS sorted FROM b WHERE k % 17 <> 0")
+def edit_tags(spark, sf_dir):
+    tags = lambda c: F.array_join(F.transform(c, lambda f: f["tag"]), " ")
+    some = "filter(fields, f -> f.tag IN ('020', '040', '100'))"
+    made = bib(spark, sf_dir).filter(f"{at('245a')} IS NOT NULL").withColumns({
+        "m": call("marc_sort_fields", call("marc_copy_field", call("marc_move_field", some, "'040'", "'500'"), "'100'", "'700'")),
+        "c": call("marc_copy_field", some, "'040'", "'900'"),
+        "w": call("marc_sort_fields", call("marc_swap_fields", "filter(fields, f -> f.tag IN ('020', '100', '245'))", "'100'", "'245'")),
+        "s": call("marc_sort_fields", f"reverse({some})"),
+    })
+    return made.select("record_no", tags("m").alias("moved"), tags("c").alias("copied"), tags("w").alias("swapped"), tags("s").alias("sorted"))
+
+
+@query("SELECT k AS record_no, upper(t1) || ' :' AS up, upper(t1[1]) || substr(t1, 2) || ' :' AS title, CASE WHEN k % 9 = 0 THEN 0 ELSE 1 END AS left_245 FROM b WHERE k % 17 <> 0")
+def edit_case_and_where(spark, sf_dir):
+    made = bib(spark, sf_dir).filter(f"{at('245a')} IS NOT NULL").withColumns({"u": call("marc_change_case", "fields", "'245'", "'a'", "'upper'"), "t": call("marc_change_case", "fields", "'245'", "'*'", "'title'"), "r": call("marc_remove_fields_where", "fields", "'245'", "'c'", "'et al'")})
+    return made.select("record_no", F.expr(E.place("u", "245a")).alias("up"), F.expr(E.place("t", "245a")).alias("title"), F.expr(f"size({E.fields_of('r', E.q('245'))})").alias("left_245"))
+
+
+@query("SELECT k AS record_no, '=020  \\\\$a' || isbn || chr(10) || '=500  \\\\$aBy ' || p_brand || ', ' || year || chr(10) AS text FROM b WHERE k % 2 = 0")
+def edit_build_field(spark, sf_dir):
+    made = call("marc_build_field", "filter(fields, f -> f.tag IN ('020', '100', '260'))", "'=500  \\\\\\\\$aBy {1..$a} {260$c}'")
+    kept = F.expr(f"filter(built, f -> f.tag IN ('020', '500'))")
+    found = bib(spark, sf_dir).filter("record_no % 2 = 0").withColumn("built", made)
+    found = found.withColumn("built", call("marc_replace_values", "built", "'500'", "'a'", "' c([0-9]+)\\\\.'", "' $1'"))
+    return found.select("record_no", F.element_at(F.split(call("marc_to_breaker", F.col("leader"), kept), "\n", 2), 2).alias("text"))
+
+
+@query("SELECT k AS record_no, 'http://example.org/n/' || k AS uri, 0 AS cleared FROM b WHERE k % 4 <> 0")
+def edit_linked_uri(spark, sf_dir):
+    made = bib(spark, sf_dir).filter("record_no % 4 != 0").withColumn("l", call("marc_set_linked_uri", "fields", "'100'", f"upper({at('100a')})", "concat('http://example.org/n/', record_no)", "'0'"))
+    made = made.withColumn("c", call("marc_clear_linked_uris", "l", "'1..'", "'0'"))
+    return made.select("record_no", F.expr(f"array_join({E.subfields('l', E.q('100'), E.q('0'))}, '|')").alias("uri"), F.expr(f"size({E.subfields('c', E.q('100'), E.q('0'))})").alias("cleared"))
+
+
+@query("SELECT k AS record_no, '020 040 245' AS kept, 'new' AS replaced, ctl || '|' || ctl || '-2' AS added FROM b WHERE k % 17 <> 0")
+def merge(spark, sf_dir):
+    one = lambda tag, value: f"named_struct('tag', '{tag}', 'ind1', ' ', 'ind2', ' ', 'value', CAST(NULL AS string), 'subfields', array(named_struct('code', 'a', 'value', {value})))"
+    base = f"CAST(array({one('020', 'control_number')}, {one('245', "'old'")}) AS {FIELDS_DDL})"
+    incoming = f"CAST(array({one('245', "'new'")}, {one('040', "'x'")}, {one('020', "concat(control_number, '-2')")}) AS {FIELDS_DDL})"
+    made = bib(spark, sf_dir).filter(f"{at('245a')} IS NOT NULL").withColumns({n: call("marc_merge", base, incoming, p, r, a, "'keep'") for n, p, r, a in (("k", "''", "''", "''"), ("r", "'0..'", "'245'", "''"), ("a", "''", "''", "'02.'"))})
+    return made.select("record_no", F.array_join(F.transform("k", lambda f: f["tag"]), " ").alias("kept"), F.expr(E.place("r", "245a")).alias("replaced"), F.expr(f"array_join({E.subfields('a', E.q('020'), E.q('a'))}, '|')").alias("added"))
+
+
+@query("SELECT k AS record_no, 'changed LDR|removed 020|added 090' AS changes FROM b")
+def diff(spark, sf_dir):
+    other = call("marc_move_field", "filter(fields, f -> f.tag = '020')", "'020'", "'090'")
+    made = columns(spark, sf_dir, d=call("marc_diff", "leader", "filter(fields, f -> f.tag = '020')", "concat(substring(leader, 1, 5), 'c', substring(leader, 7))", other))
+    return made.select("record_no", F.array_join(F.transform("d", lambda x: F.concat(x["kind"], F.lit(" "), x["tag"])), "|").alias("changes"))
+
+
+# ---- quality and RDA -------------------------------------------------------------------------
+
+
+@query("SELECT k AS record_no, 100::INT AS encoding_level_rank, ((k % 17 <> 0)::INT * 20 + 10 + (k % 8 = 0)::INT * 10 + 3 + (k % 3 = 0)::INT * 3 + 40)::INT AS completeness FROM b")
+def rank(spark, sf_dir):
+    return columns(spark, sf_dir, r=call("marc_rank", "leader", "fields")).select("record_no", "r.encoding_level_rank", "r.completeness")
+
+
+@query("SELECT k AS record_no, CASE kind WHEN 'a' THEN 'txt' ELSE 'prm' END AS content, CASE kind WHEN 'a' THEN 'n' END AS media, CASE kind WHEN 'a' THEN 'nc' END AS carrier FROM b")
+def generate_33x(spark, sf_dir):
+    made = bib(spark, sf_dir).select("record_no", call("marc_generate_33x", "leader", "fields").alias("fields"))
+    return made.select("record_no", *[F.expr(at(t + "b")).alias(n) for t, n in (("336", "content"), ("337", "media"), ("338", "carrier"))])
+
+
+@query("SELECT k AS record_no, p_size || ' pages :' AS extent, 'illustrations ;' AS other, CASE WHEN k % 6 = 0 THEN '2nd edition' END AS edition FROM b")
+def rda_expand(spark, sf_dir):
+    made = bib(spark, sf_dir).select("record_no", call("marc_rda_expand", "fields").alias("fields"))
+    return made.select("record_no", F.expr(at("300a")).alias("extent"), F.expr(at("300b")).alias("other"), F.expr(at("250a")).alias("edition"))
+
+
+_ISSUES = ", i AS (SELECT k, ctl, t1, list_filter([CASE WHEN k % 4 <> 0 THEN 'desc_aacr2' END, CASE WHEN k % 4 <> 0 THEN 'no_040e_rda' END, 'missing_336', 'missing_337', 'missing_338', CASE WHEN k % 2 = 0 THEN 'only_260' END, 'aacr2_abbreviations', CASE WHEN k % 10 = 0 THEN 'sl_sn_260' END, CASE WHEN k % 9 = 0 AND t1 IS NOT NULL THEN 'et_al_245' END, CASE WHEN k % 4 <> 0 THEN 'no_relator_1xx' END, CASE WHEN k % 8 = 0 THEN 'no_relator_7xx' END], lambda x: x IS NOT NULL) AS issues FROM b) "
+
+
+@query(_ISSUES + "SELECT issue, count(*)::BIGINT AS records FROM (SELECT unnest(issues) AS issue FROM i) GROUP BY issue")
+def task_rda_profile(spark, sf_dir):
+    return tasks.rda_profile(bib(spark, sf_dir))
+
+
+@query(_ISSUES + "SELECT k AS record_no, ctl AS control_number, t1 || ' :' AS title, array_to_string(issues, '|') AS issues FROM i")
+def task_rda_worklist(spark, sf_dir):
+    return tasks.rda_worklist(bib(spark, sf_dir)).withColumn("issues", F.array_join("issues", "|"))
+
+
+@query("SELECT ctl AS id, left(leader, 18) || 'i' || substr(leader, 20) AS leader, 'rda' AS conventions, p_size || ' pages :' AS extent FROM b")
+def task_rda_upgrade(spark, sf_dir):
+    made = tasks.rda_upgrade_file(bib(spark, sf_dir))
+    return made.select(F.expr(E.control_field("fields", E.q("001"))).alias("id"), "leader", F.expr(at("040e")).alias("conventions"), F.expr(at("300a")).alias("extent"))
+
+
+@query("SELECT k AS record_no, 'bibliographic' AS format, CASE WHEN k % 17 = 0 THEN '245: required field missing' ELSE '' END AS violations, (6 + (k % 4 <> 0)::INT * 3 + (k % 2 = 0)::INT + (k % 10 = 0)::INT + (k % 9 = 0 AND t1 IS NOT NULL)::INT + (k % 8 = 0)::INT - 2)::INT AS rda_issues, 0::INT AS vendor_9xx_dropped FROM b")
+def task_vendor_report(spark, sf_dir):
+    return tasks.vendor_report(bib(spark, sf_dir)).select("record_no", "format", F.array_join("violations", "|").alias("violations"), "rda_issues", "vendor_9xx_dropped")
+
+
+@query("SELECT ctl AS id, 'ORG' AS org, strftime(current_date, '%Y-%m-%d') AS day FROM b")
+def task_vendor_load(spark, sf_dir):
+    made = tasks.vendor_load(bib(spark, sf_dir), "ORG")
+    return made.select(F.expr(E.control_field("fields", E.q("001"))).alias("id"), F.expr(at("949a")).alias("org"), F.expr(at("949d")).alias("day"))
+
+
+@query("SELECT k AS record_no, CASE WHEN k % 2 <> 0 THEN '264' ELSE CASE WHEN true THEN '264 264' END END AS tags, CASE WHEN k % 2 = 0 THEN '©' || year ELSE 'c' || year || '.' END AS date FROM b")
+def rda_264(spark, sf_dir):
+    made = bib(spark, sf_dir).select("record_no", call("marc_264_from_260", "fields").alias("fields"))
+    return made.select("record_no", F.expr("array_join(transform(filter(fields, f -> f.tag IN ('260', '264')), f -> f.tag), ' ')").alias("tags"), F.expr(at("264c")).alias("date"))
+
+
+# ---- codecs, builders, holdings --------------------------------------------------------------
+
+
+@query("SELECT k AS record_no, true AS iso2709, true AS marcjson, 24 + (len(tags) * 12)::INT + 1 AS base FROM b")
+def round_trips(spark, sf_dir):
+    made = bib(spark, sf_dir).withColumns({"raw": call("marc_to_iso2709", "leader", "fields", "'utf8'", "'nfc'"), "j": call("marc_parse_json", call("marc_to_json", "leader", "fields"))})
+    made = made.withColumn("back", call_parse("raw"))
+    return made.select("record_no", F.expr("back.fields <=> fields").alias("iso2709"), F.expr("j.fields <=> fields AND j.leader = leader").alias("marcjson"), F.expr("CAST(substring(back.leader, 13, 5) AS INT)").alias("base"))
+
+
+def call_parse(raw: str) -> Column:
+    from ..codecs import iso2709
+    from ..types import RECORD_DDL
+
+    udfs.FUNCTIONS.setdefault("marc_parse_iso2709", (lambda r: None if r is None else iso2709.parse(r), "raw", RECORD_DDL, "codecs"))
+    return call("marc_parse_iso2709", raw)
+
+
+@query("SELECT k AS record_no, '020 245 260 856' AS tags, CASE WHEN isbn_ok THEN isbn END AS isbn, p_name AS title FROM b WHERE isbn_ok")
+def kbart_to_marc(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("record_no"), "p_name", "p_brand")
+    made = bib(spark, sf_dir).join(part, "record_no").filter("record_no % 5 != 0").select("record_no", call("marc_kbart_to_marc", "p_name", at("020a"), at("856u"), "p_brand").alias("r"))
+    return made.select("record_no", F.array_join(F.transform("r.fields", lambda f: f["tag"]), " ").alias("tags"), F.expr(E.place("r.fields", "020a")).alias("isbn"), F.expr(E.place("r.fields", "245a")).alias("title"))
+
+
+@query("SELECT k AS record_no, '008 020 100 245 264 856' AS tags, '00000nam a22000005i 4500' AS leader, p_brand || '|' || year AS imprint FROM b")
+def from_delimited(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", F.expr("CAST(1950 + p_size AS string)").alias("year"))
+    mapping = call("marc_delimited_preset_books", "p_name", "p_brand", "concat('isbn ', p_partkey)", "p_brand", "year")
+    made = part.select(F.col("p_partkey").alias("record_no"), call("marc_from_delimited_url", F.lit("book"), mapping, F.lit("http://x"), F.lit(None).cast("string")).alias("r"))
+    return made.select("record_no", F.array_join(F.transform("r.fields", lambda f: f["tag"]), " ").alias("tags"), "r.leader", F.expr(f"concat({E.place('r.fields', '264b')}, '|', {E.place('r.fields', '264c')})").alias("imprint"))
+
+
+@query("SELECT l_orderkey AS order_no, l_linenumber AS line_no, 'v.' || l_linenumber || ':no.' || l_quantity::BIGINT || '(' || year(l_shipdate) || ')' AS enumeration FROM lineitem")
+def holdings(spark, sf_dir):
+    data = lambda tag, parts: f"named_struct('tag', '{tag}', 'ind1', ' ', 'ind2', ' ', 'value', CAST(NULL AS string), 'subfields', array({', '.join(f"named_struct('code', '{c}', 'value', {v})" for c, v in parts)}))"
+    fields = f"CAST(array({data('853', (('8', "'1'"), ('a', "'v.'"), ('b', "'no.'"), ('i', "'x'"), ('c', "'(year)'")))}, {data('863', (('8', "'1.1'"), ('a', 'CAST(l_linenumber AS string)'), ('b', 'CAST(CAST(l_quantity AS BIGINT) AS string)'), ('c', 'CAST(year(l_shipdate) AS string)')))}) AS {FIELDS_DDL})"
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.expr(fields).alias("fields"))
+    paired = lines.select(F.col("l_orderkey").alias("order_no"), F.col("l_linenumber").alias("line_no"), F.explode(call("marc_holdings_pairs", "fields")).alias("p"))
+    return paired.select("order_no", "line_no", call("marc_expand_863", "p.caption_field", "p.value_field").alias("enumeration"))
+
+
+@query("SELECT s_suppkey AS supplier, 'authorized:' || s_name || '|see_from:' || n_name || ' ' || s_suppkey AS refs FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def authority_refs(spark, sf_dir):
+    joined = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(F.broadcast(spark.read.parquet(f"{sf_dir}/nation.parquet")), F.col("s_nationkey") == F.col("n_nationkey"))
+    one = lambda tag, value: f"named_struct('tag', '{tag}', 'ind1', '2', 'ind2', ' ', 'value', CAST(NULL AS string), 'subfields', array(named_struct('code', 'a', 'value', {value}), named_struct('code', 'w', 'value', 'nna')))"
+    made = joined.select(F.col("s_suppkey").alias("supplier"), F.lit("00000nz  a2200000o  4500").alias("leader"), F.expr(f"CAST(array({one('110', 's_name')}, {one('410', "concat(n_name, ' ', s_suppkey)")}) AS {FIELDS_DDL})").alias("fields"))
+    return made.select("supplier", F.array_join(F.transform(call("marc_authority_refs", "leader", "fields"), lambda r: F.concat(r["kind"], F.lit(":"), r["heading"])), "|").alias("refs"))
+
+
+@query("SELECT k AS record_no, 'http://o?verb=ListRecords&metadataPrefix=marc21&set=' || url_encode(p_type || ' *~') || '&from=2020' AS oai, 'http://s?version=1.1&operation=searchRetrieve&recordSchema=marcxml&maximumRecords=50&query=' || url_encode('ti=' || p_name) AS sru, 'https://viaf.org/viaf/search?query=' || url_encode('local.mainHeadingEl all \"' || p_brand || '\"') || '&maximumRecords=5&httpAccept=application/json' AS viaf, 'https://a/almaws/v1/bibs/' || k || '?validate=true&stale_version_check=false&apikey=' || url_encode(p_brand) AS alma FROM b")
+def addresses(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").alias("record_no"), F.expr(E.oai_url("'http://o'", set_="concat(p_type, ' *~')", from_="'2020'")).alias("oai"), F.expr(E.sru_url("'http://s'", "concat('ti=', p_name)")).alias("sru"), F.expr(E.viaf_search_url("p_brand")).alias("viaf"), F.expr(E.alma_put_url("'https://a'", "p_partkey", "p_brand", "true", "false")).alias("alma"))
+
+
+@query("SELECT k AS record_no, '<bib><record><leader>' || leader || '</leader><controlfield tag=\"001\">' || ctl || '</controlfield><datafield tag=\"020\" ind1=\" \" ind2=\" \"><subfield code=\"a\">' || isbn || '</subfield></datafield></record></bib>' AS body FROM b")
+def alma_body(spark, sf_dir):
+    return columns(spark, sf_dir, body=call("marc_alma_bib_body", "leader", "filter(fields, f -> f.tag IN ('001', '020'))"))
