@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import edits as D
 from ..functions import expr as E
 from ..functions import udfs
 from ..operators import matching, reports, tasks
-from ..types import FIELDS_DDL
+from ..types import FIELD_DDL, FIELDS_DDL
 from .projection import SQL, bib
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,11 +45,6 @@ def at(spec: str) -> str:
     return E.place("fields", spec)
 
 
-def breaker_of(fields: Column | str) -> Column:
-    """Fields as breaker lines, without the leader line."""
-    return F.expr("1") if fields is None else F.element_at(F.split(call("marc_to_breaker", "leader", fields), "\n", 2), 2)
-
-
 # ---- profiles --------------------------------------------------------------------------------
 
 _TAGS = ", t AS (SELECT k, unnest(tags) AS tag FROM b) "
@@ -305,36 +301,41 @@ _LINE_020 = "'=020  \\\\$a' || isbn"
 _NAME = "p_brand || ','"
 
 
-def edited(spark, sf_dir, tags: str, name: str, *args: str) -> DataFrame:
+def edited(spark, sf_dir, tags: str, edit: Callable[[str], str]) -> DataFrame:
     """record_no and the breaker lines of some fields after an edit."""
-    some = f"filter(fields, f -> f.tag IN ({tags}))"
-    return columns(spark, sf_dir, text=F.element_at(F.split(call("marc_to_breaker", "leader", call(name, some, *args)), "\n", 2), 2))
+    lines = lambda fields: f"concat(array_join(transform({fields}, f -> {E.fieldbreak('f')}), '\\n'), '\\n')"
+    return columns(spark, sf_dir, text=lines(edit(f"filter(fields, f -> f.tag IN ({tags}))")))
 
 
 @query(f"SELECT k AS record_no, '=001  ' || ctl || chr(10) || {_LINE_020} || '$qpbk.' || chr(10) AS text FROM b")
 def edit_set_subfield(spark, sf_dir):
-    return edited(spark, sf_dir, "'001', '020'", "marc_set_subfield", "'02.'", "'q'", "'pbk.'")
+    return edited(spark, sf_dir, "'001', '020'", lambda x: D.set_subfield(x, "02.", "q", "'pbk.'"))
 
 
 @query("SELECT k AS record_no, '=001  ' || ctl || chr(10) AS text FROM b")
 def edit_remove_fields(spark, sf_dir):
-    return edited(spark, sf_dir, "'001', '020', '050'", "marc_remove_fields", "'0[25]0'".replace("[25]", "."))
+    return edited(spark, sf_dir, "'001', '020', '050'", lambda x: D.remove_fields(x, "0.0"))
 
 
 @query("SELECT k AS record_no, '=001  ' || ctl || chr(10) || '=050  \\4$b.B' || p_size || ' ' || year || chr(10) AS text FROM b")
 def edit_remove_subfield(spark, sf_dir):
-    return columns(spark, sf_dir, text=F.element_at(F.split(call("marc_to_breaker", "leader", call("marc_remove_subfield", "filter(fields, f -> f.tag IN ('001', '020', '050'))", "'0.0'", "'a'")), "\n", 2), 2))
+    return edited(spark, sf_dir, "'001', '020', '050'", lambda x: D.remove_subfield(x, "0.0", "a"))
 
 
 @query("SELECT k AS record_no, '=001  B-' || substr(ctl, 2) || chr(10) || '=020  \\\\$a' || isbn || chr(10) AS text FROM b")
 def edit_replace_values(spark, sf_dir):
-    return edited(spark, sf_dir, "'001', '020'", "marc_replace_values", "'0..'", "CAST(NULL AS string)", "'^b(0)'", "'B-$1'")
+    return edited(spark, sf_dir, "'001', '020'", lambda x: D.replace_values(x, "0..", None, "^b(0)", "B-$1"))
 
 
-@query(f"SELECT k AS record_no, '=020  \\7$z' || isbn || chr(10) AS text FROM b")
+@query("SELECT k AS record_no, '=020  \\7$z' || isbn || chr(10) AS text FROM b")
 def edit_indicators_and_codes(spark, sf_dir):
-    some = call("marc_set_indicators", "filter(fields, f -> f.tag = '020')", "'020'", "CAST(NULL AS string)", "'7'")
-    return columns(spark, sf_dir, text=F.element_at(F.split(call("marc_to_breaker", "leader", call("marc_rename_subfield", some, "'020'", "'a'", "'z'")), "\n", 2), 2))
+    return edited(spark, sf_dir, "'020'", lambda x: D.rename_subfield(D.set_indicators(x, "020", None, "7"), "020", "a", "z"))
+
+
+@query("SELECT k AS record_no, '=020  \\\\$a' || isbn || chr(10) || '=500  \\\\$aNote ' || k || chr(10) || '=900  \\1$a' || p_brand || ',' || CASE WHEN k % 4 = 0 THEN '$eauthor' ELSE '' END || CASE WHEN k % 7 = 0 THEN '$0http://id.loc.gov/authorities/names/n' || k ELSE '' END || chr(10) AS text FROM b")
+def edit_add_move_sort(spark, sf_dir):
+    note = f"CAST(named_struct('tag', '500', 'ind1', ' ', 'ind2', ' ', 'value', NULL, 'subfields', array(named_struct('code', 'a', 'value', concat('Note ', record_no)))) AS {FIELD_DDL})"
+    return edited(spark, sf_dir, "'020', '100'", lambda x: D.set_indicators(D.sort_fields(D.move_field(D.add_field(f"reverse({x})", note), "1..", "900")), "900", " ", "1"))
 
 
 @query("SELECT k AS record_no, '020 100 500 700' AS moved, '020 040 100 900' AS copied, '020 100 245' AS swapped, '020 040 100' AS sorted FROM b WHERE k % 17 <> 0")
@@ -482,8 +483,8 @@ def holdings(spark, sf_dir):
     data = lambda tag, parts: f"named_struct('tag', '{tag}', 'ind1', ' ', 'ind2', ' ', 'value', CAST(NULL AS string), 'subfields', array({', '.join(f"named_struct('code', '{c}', 'value', {v})" for c, v in parts)}))"
     fields = f"CAST(array({data('853', (('8', "'1'"), ('a', "'v.'"), ('b', "'no.'"), ('i', "'x'"), ('c', "'(year)'")))}, {data('863', (('8', "'1.1'"), ('a', 'CAST(l_linenumber AS string)'), ('b', 'CAST(CAST(l_quantity AS BIGINT) AS string)'), ('c', 'CAST(year(l_shipdate) AS string)')))}) AS {FIELDS_DDL})"
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.expr(fields).alias("fields"))
-    paired = lines.select(F.col("l_orderkey").alias("order_no"), F.col("l_linenumber").alias("line_no"), F.explode(call("marc_holdings_pairs", "fields")).alias("p"))
-    return paired.select("order_no", "line_no", call("marc_expand_863", "p.caption_field", "p.value_field").alias("enumeration"))
+    paired = lines.select(F.col("l_orderkey").alias("order_no"), F.col("l_linenumber").alias("line_no"), F.explode(F.expr(D.holdings_pairs("fields"))).alias("p"))
+    return paired.select("order_no", "line_no", F.expr(D.expand_863("p.caption_field", "p.value_field")).alias("enumeration"))
 
 
 @query("SELECT s_suppkey AS supplier, 'authorized:' || s_name || '|see_from:' || n_name || ' ' || s_suppkey AS refs FROM supplier JOIN nation ON s_nationkey = n_nationkey")

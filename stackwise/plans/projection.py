@@ -54,9 +54,15 @@ _FIELDS = [
 ]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files make fewer tasks than there are; else untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bib(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records in the nested shape, one for each part; nothing is shuffled."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("k", F.col("p_partkey"))
+    """Records in the nested shape, one for each part."""
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet")).withColumn("k", F.col("p_partkey"))
     part = part.withColumn("core", F.expr("concat('978', lpad(CAST(k AS string), 9, '0'))"))
     part = part.withColumn("s", F.expr("aggregate(sequence(1, 12), 0, (n, i) -> n + CAST(substring(core, i, 1) AS INT) * IF(i % 2 = 0, 3, 1))"))
     part = part.withColumns({name: F.expr(e) for name, e in _COLUMNS.items()})
