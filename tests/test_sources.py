@@ -219,3 +219,15 @@ def test_streaming(spark, frame, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(r.control_number for r in spark.table("landed").collect()) == ["r1", "r2", "r3"]
+
+
+@pytest.mark.parametrize("fmt", ["marc", "marcxml", "marcjson"])
+def test_data_sources(spark, frame, tmp_path, fmt):
+    from stackwise.sources.datasource import register_sources
+
+    register_sources(spark)
+    frame.coalesce(1).write.format(fmt).mode("append").save(f"{tmp_path}/out")
+    got = spark.read.format(fmt).load(f"{tmp_path}/out").orderBy("record_no").collect()
+    assert plain(got) == RECORDS and got[0].control_number == "r1"
+    frame.limit(1).coalesce(1).write.format(fmt).mode("overwrite").save(f"{tmp_path}/out")
+    assert spark.read.format(fmt).option("tags", "245").load(f"{tmp_path}/out").first().fields[0].tag == "245"
