@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
-from ..types import FIELD_DDL, FIELDS_DDL
+from ..types import FIELD_DDL, FIELDS_DDL, RECORD_DDL
 from . import expr as E
 from . import udfs
 
-_TYPES = {"fields": FIELDS_DDL, "field": FIELD_DDL, "pos": "int", "start_pos": "int", "len": "int", "is_books": "boolean", "count_": "int", "max_records": "int", "limit_": "int", "validate": "boolean", "stale_version_check": "boolean", "lim": "int", "off": "int"}
+_TYPES = {"record": RECORD_DDL, "fields": FIELDS_DDL, "field": FIELD_DDL, "pos": "int", "start_pos": "int", "len": "int", "is_books": "boolean", "count_": "int", "max_records": "int", "limit_": "int", "validate": "boolean", "stale_version_check": "boolean", "lim": "int", "off": "int"}
 
 
 @dataclass(frozen=True)
@@ -69,6 +69,7 @@ EXPRESSIONS: dict[str, SqlFunction] = {
     "marc_urls_856": SqlFunction("fields", E.urls_856, "linking"),
     "marc_rda_check": SqlFunction("leader, fields", lambda leader, fields: E.rda_check(leader, fields, f"marc_rda_expand({fields})"), "rda"),
     "marc_variant": SqlFunction("leader, fields", E.variant, "codecs"),
+    "marc_variant_record": SqlFunction("record", lambda record: E.variant(f"{record}.leader", f"{record}.fields"), "codecs"),
     "marc_isbd_nn": SqlFunction("v", E.nonempty, "international"),
     **{f"marc_isbd_area{n}": SqlFunction("fields", _area(n), "international") for n in (1, 2, 4, 5, 6)},
     "marc_isbd_area8": SqlFunction("leader, fields", _area(8), "international"),

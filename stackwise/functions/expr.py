@@ -6,7 +6,7 @@ Each function takes and returns SQL text, so that they nest, inline into lambdas
 
 from __future__ import annotations
 
-from .crosswalks import NAMES, RESOURCE_TYPES
+from .crosswalks import HEADING_TAGS, NAMES, RESOURCE_TYPES
 
 
 def q(text: str) -> str:
@@ -276,10 +276,6 @@ def heading_join(f: str) -> str:
     return joined(f"transform(filter({f}.subfields, s -> s.code BETWEEN 'a' AND 'z' AND s.code != 'w'), s -> s.value)", " ")
 
 
-#: Tags of headings besides 6XX.
-HEADING_TAGS = ("100", "110", "111", "130", "700", "710", "711", "730", "740")
-
-
 def headings(fields: str) -> str:
     return f"transform(filter({fields}, f -> f.subfields IS NOT NULL AND (f.tag LIKE '6%' OR {in_list('f.tag', HEADING_TAGS)})), f -> {heading_join('f')})"
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..codecs import breaker, iso2709, marcjson, marcxml
+from ..operators import crosswalk_files
 from ..types import FIELD_DDL, FIELDS_DDL, RECORD_DDL
 from . import crosswalks as X
 from . import marcspec as S
@@ -119,7 +120,7 @@ FUNCTIONS: dict[str, tuple[Callable, str, str, str]] = {
     "marc_matchkey": (T.match_key, "fields", "string", "matching"),
     "marc_dedupe_key": (T.match_key, "fields", "string", "matching"),
     "marc_nearest_key": (lambda fields: T.naco(None if (a := X.first(fields, ("245", "a"))) is None else " ".join(v for v in (a, X.first(fields, ("245", "b"))) if v is not None)), "fields", "string", "matching"),
-    "marc_headings_naco": (lambda headings: None if headings is None else [T.naco(h) for h in headings], "headings", STRINGS, "headings"),
+    "marc_headings_naco": (lambda fields: None if fields is None else [T.naco(h) for h in X.headings(fields)], "fields", STRINGS, "headings"),
     "marc_heading_flips": (X.heading_flips, "bib_headings, auth_refs", "array<struct<heading:string,authorized:string>>", "authorities"),
     "marc_authority_refs": (X.authority_refs, "leader, fields", "array<struct<kind:string,tag:string,heading:string>>", "authorities"),
     "marc_parse_json": (_first_json, "json", RECORD_DDL, "codecs"),
@@ -162,6 +163,8 @@ FUNCTIONS: dict[str, tuple[Callable, str, str, str]] = {
     "marc_86x_zip": (X.zip_86x, "cap_field, val_field", "array<struct<code:string,cap:string,val:string>>", "holdings"),
     "marc_holdings_pairs": (X.holdings_pairs, "fields", f"array<struct<link:string,caption_field:{FIELD_DDL},value_field:{FIELD_DDL}>>", "holdings"),
     "marc_expand_863": (X.expand_863, "cap_field, val_field", "string", "holdings"),
+    "marc_xslt_sheet_file": (crosswalk_files.sheet_file, "alias_or_path", "string", "crosswalks"),
+    "marc_xslt_command": (crosswalk_files.command, "crosswalk, input_path, output_path", "string", "crosswalks"),
     "marc_alma_xml_escape": (X.alma_escape, "value", "string", "ils"),
     "marc_alma_bib_body": (X.alma_bib_body, "leader, fields", "string", "ils"),
     "marc_kbart_856": (X.kbart_856, "title_url, link_text", FIELD_DDL, "building"),

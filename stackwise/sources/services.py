@@ -14,6 +14,7 @@ from urllib.request import Request, urlopen
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import expr as E
 from .readers import records_of_text
 
 _TOKEN = re.compile(r"<(?:[A-Za-z_][\w.-]*:)?resumptionToken[^>]*>([^<]*)")
@@ -78,6 +79,13 @@ def read_oai_page(spark: SparkSession, base: str, token: str) -> DataFrame:
     return read_urls(spark, f"{base}?verb=ListRecords{_option('resumptionToken', token)}")
 
 
+def oai_token(spark: SparkSession, url: str) -> DataFrame:
+    """(token, complete_list_size, cursor, expiration_date) of one answer."""
+    xml = fetch(spark, [url]).selectExpr("decode(content, 'UTF-8') AS xml")
+    size, cursor, until = (E.oai_token_attribute("xml", n) for n in ("completeListSize", "cursor", "expirationDate"))
+    return xml.selectExpr(f"{E.oai_extract_token('xml')} AS token", f"try_cast({size} AS bigint) AS complete_list_size", f"try_cast({cursor} AS bigint) AS cursor", f"{until} AS expiration_date")
+
+
 #: Record addresses of library systems, with the format of their answers.
 ADDRESSES = {
     "alma": ("{base}/almaws/v1/bibs/{id}", "marcxml"),

@@ -150,7 +150,7 @@ def test_crosswalk_catalogue(spark):
 class _Pages(BaseHTTPRequestHandler):
     def do_GET(self):
         page = 2 if "resumptionToken" in self.path else 1
-        token = "<resumptionToken cursor='0'>next page/1</resumptionToken>" if page == 1 else "<resumptionToken/>"
+        token = "<resumptionToken cursor=\"0\">next page/1</resumptionToken>" if page == 1 else "<resumptionToken/>"
         body = f"<OAI><ListRecords>{marcxml.write(None, RECORDS[page - 1])}</ListRecords>{token}</OAI>".encode()
         self.send_response(200)
         self.end_headers()
@@ -167,6 +167,7 @@ def test_services(spark):
     try:
         assert services.read_oai(spark, base).count() == 1
         assert {r.control_number for r in services.read_oai(spark, base, pages=None).collect()} == {"r1", "r2"}
+        assert tuple(services.oai_token(spark, base).first()) == ("next page/1", None, 0, None)
         assert services.read_system(spark, "koha", base, "7").first().control_number == "r1"
         assert services.read_sru(spark, base, 'title="x y"').count() == 1
     finally:
@@ -231,3 +232,25 @@ def test_data_sources(spark, frame, tmp_path, fmt):
     assert plain(got) == RECORDS and got[0].control_number == "r1"
     frame.limit(1).coalesce(1).write.format(fmt).mode("overwrite").save(f"{tmp_path}/out")
     assert spark.read.format(fmt).option("tags", "245").load(f"{tmp_path}/out").first().fields[0].tag == "245"
+
+
+def test_sql_tables(spark, frame, tmp_path):
+    from stackwise.sources.sql_tables import register_tables
+
+    catalog.register_all(spark)
+    register_tables(spark)
+    writers.write_records(frame, f"{tmp_path}/out", "marc", single_file=True)
+    writers.write_records(frame, f"{tmp_path}/xml", "marcxml", single_file=True)
+    path, xml = f"{tmp_path}/out/part-*", f"{tmp_path}/xml/part-*"
+    ask = lambda sql: [tuple(r) for r in spark.sql(sql).collect()]
+    assert ask(f"SELECT control_number FROM read_marc('{path}', tags => '245') ORDER BY record_no") == [("r1",), ("r2",), ("r3",)]
+    assert ask(f"SELECT * FROM marc_report_tags('{path}')")[2] == ("245", 3, 3, 100.0)
+    assert ask(f"SELECT * FROM marc_report_subfields('{path}', '245')") == [("a", 3, 3), ("b", 1, 1), ("c", 1, 1)]
+    assert ask(f"SELECT records, files, total_fields, marc8_records FROM marc_summary('{path}')") == [(3, 1, 8, 0)]
+    assert ask(f"SELECT count(*) FROM read_marc_subfields('{path}')") == ask(f"SELECT count(*) FROM read_marcxml('{xml}')") == [(10,)]
+    assert ask(f"SELECT error FROM read_marc_raw('{path}')") == [(None,)] * 3 and ask("SELECT count(*) FROM marc_xslt_functions()") == [(27,)]
+    nested = spark.sql(f"SELECT fields FROM marc_readnestedxml('{xml}') ORDER BY record_no").collect()
+    assert plain(nested)[:2] == RECORDS[:2]
+    assert ask(f"SELECT issue FROM task_rda_profile('{path}') LIMIT 1") == [("desc_aacr2",)]
+    assert ask(f"SELECT heading FROM marc_reconcile_headings('{path}', 'viaf')") == [("Ünï",)]
+    assert ask(f"SELECT violation FROM marc_report_errors('{path}')") == [("data field with no subfields",)]
