@@ -46,6 +46,17 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Removes the scratch tables of this application; results that still read them must be written
+    before."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith("stackwise_"):
+            spark.sql(f"DROP TABLE IF EXISTS {quoted(table.name)}")
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark).rsplit("/", 1)[0])
+    top.getFileSystem(hadoop).delete(top, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished jobs, which wait for the driver's
     garbage collection."""

@@ -55,3 +55,12 @@ def test_query_digest(spark, tmp_path):
     got = {r.doc_id: r for r in QUERIES["op4_substring_dedup"](spark, str(tmp_path)).collect()}
     assert got[1].kept_sha256 == hashlib.sha256(b"a b").hexdigest() and got[2].kept_sha256 == hashlib.sha256(b"").hexdigest()
     assert (got[1].n_words, got[1].n_removed, got[2].n_words) == (2, 0, 0)
+
+
+def test_cleanup(spark):
+    from stackwise.llm.common import bucketed, cleanup, materialise
+
+    table, plain = bucketed(spark.range(9), "id"), materialise(spark.range(3))
+    assert table.count() == 9 and plain.count() == 3
+    cleanup(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stackwise_")]
