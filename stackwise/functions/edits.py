@@ -11,7 +11,8 @@ import re
 
 from ..types import FIELD_DDL, FIELDS_DDL
 from .expr import field_value, in_list, q
-from .records import EditError, is_control_tag, literal_tag, one_character, tag_test
+from .marcspec import parse
+from .records import RDA_WORDS, EditError, is_control_tag, literal_tag, one_character, tag_test
 
 _CONTROL = "f.value IS NOT NULL AND f.subfields IS NULL"
 
@@ -119,3 +120,59 @@ def holdings_pairs(fields: str) -> str:
     link = f"split_part({field_value('v', '8')}, '.', 1)"
     caption = f"get(filter({fields}, c -> c.tag = CASE v.tag WHEN '863' THEN '853' WHEN '864' THEN '854' ELSE '855' END AND {field_value('c', '8')} = {link}), 0)"
     return f"transform(filter({fields}, v -> {in_list('v.tag', ('863', '864', '865'))} AND v.subfields IS NOT NULL), v -> named_struct('link', {link}, 'caption_field', {caption}, 'value_field', v))"
+
+
+# ---- RDA and specs ---------------------------------------------------------------------------
+
+
+def rda_expand(fields: str) -> str:
+    """Abbreviations of 250$a and of all 300 subfields spelt out, longest first."""
+
+    def spelt(value: str) -> str:
+        for short, full in RDA_WORDS.items():
+            value = f"regexp_replace({value}, {q('(?<![A-Za-z0-9])' + re.escape(short) + '(?![A-Za-z0-9])')}, {q(full)})"
+        return value
+
+    parts = f"transform(f.subfields, s -> IF(f.tag = '300' OR s.code = 'a', named_struct('code', s.code, 'value', {spelt('s.value')}), s))"
+    return f"transform({clean(fields)}, f -> IF(f.subfields IS NOT NULL AND f.tag IN ('250', '300'), {_field(subfields=parts)}, f))"
+
+
+def _pick(items: str, span: tuple | None) -> str:
+    if span is None:
+        return items
+    start, stop = span
+    if start is None:
+        back = stop or 0
+        return f"slice({items}, greatest(size({items}) - {back}, 1), {back + 1})"
+    return f"slice({items}, {start + 1}, {f'size({items})' if stop is None else max(stop - start + 1, 0)})"
+
+
+def _characters(value: str, span: tuple | None) -> str:
+    """Bytes of a value as an array of one string, or of none."""
+    if span is None:
+        return f"array({value})"
+    start, stop = span
+    raw = f"CAST({value} AS binary)"
+    size = f"octet_length({value})"
+    low = f"greatest({size} - {stop or 0}, 1)" if start is None else str(start + 1)
+    length = str((stop or 0) + 1) if start is None else size if stop is None else str(max(stop - start + 1, 0))
+    cut = f"make_valid_utf8(CAST(substring({raw}, {low}, {length}) AS string))"
+    return f"filter(array({cut}), x -> x != '')"
+
+
+def spec(leader: str, fields: str, text: str) -> str:
+    """Values at a literal MARCspec, as an array."""
+    s = parse(text)
+    if s.tag == "LDR":
+        return _characters(leader, s.characters)
+    none = "CAST(array() AS array<string>)"
+    if s.indicator:
+        control, own = none, f"array(f.ind{s.indicator})"
+    elif s.codes:
+        values = [_pick(f"transform(filter(f.subfields, s -> s.code = {q(c)}), s -> s.value)", span) for c, span in s.codes]
+        control, own = none, f"concat({', '.join(values)})"
+    else:
+        control = _characters("f.value", s.characters)
+        own = none if s.characters else "array(array_join(transform(f.subfields, s -> s.value), ' '))"
+    some = _pick(f"filter({clean(fields)}, f -> {_matches(s.tag)})", s.fields)
+    return f"flatten(transform({some}, f -> IF(f.subfields IS NULL, {control}, {own})))"

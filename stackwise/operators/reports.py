@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import edits as D
 from ..functions import expr as E
-from ..functions import udfs
 from ..sources.readers import to_fields, to_subfields
 
 #: Weights of the completeness score.
@@ -110,8 +110,7 @@ def check_urls(records: DataFrame) -> DataFrame:
 
 def with_rda_issues(records: DataFrame) -> DataFrame:
     """``records`` with ``issues``, the codes of pre-RDA practice."""
-    expanded = records.withColumn("__expanded", udfs.call("marc_rda_expand", "fields"))
-    return expanded.withColumn("issues", F.expr(E.rda_check("leader", "fields", "__expanded"))).drop("__expanded")
+    return records.withColumn("issues", F.expr(E.rda_check("leader", "fields", D.rda_expand("fields"))))
 
 
 __all__ = ["check_urls", "report_completeness", "report_errors", "report_subfields", "report_tags", "summary", "summary_fields", "summary_subfields", "to_fields", "to_subfields", "with_rda_issues"]

@@ -142,9 +142,8 @@ def recordbreak(spark, sf_dir):
 
 @query("SELECT k AS record_no, ctl AS id, isbn AS isbn, split_part(url, '/', 3) AS host, year AS year, level || kind AS reversed, '1 ' AS indicators, p_brand || ',' || CASE WHEN k % 4 = 0 THEN '|author' ELSE '' END AS name FROM b")
 def spec(spark, sf_dir):
-    of = lambda s: f"array_join(spec_{s}, '|')"
-    made = bib(spark, sf_dir).withColumns({f"spec_{n}": call("marc_spec", "leader", "fields", E.q(s)) for n, s in {"id": "001", "isbn": "02.$a", "url": "856$u[0]", "year": "008/7-10", "kind": "LDR/6", "level": "LDR/7", "i1": "100^1", "i2": "100^2", "name": "1..[0]$a$e"}.items()})
-    return made.select("record_no", F.expr(of("id")).alias("id"), F.expr(of("isbn")).alias("isbn"), F.expr(f"split_part({of('url')}, '/', 3)").alias("host"), F.expr(of("year")).alias("year"), F.expr(f"concat({of('level')}, {of('kind')})").alias("reversed"), F.expr(f"concat({of('i1')}, {of('i2')})").alias("indicators"), F.expr(of("name")).alias("name"))
+    of = lambda s: f"array_join({D.spec('leader', 'fields', s)}, '|')"
+    return columns(spark, sf_dir, id=of("001"), isbn=of("02.$a"), host=f"split_part({of('856$u[0]')}, '/', 3)", year=of("008/7-10"), reversed=f"concat({of('LDR/7')}, {of('LDR/6')})", indicators=f"concat({of('100^1')}, {of('100^2')})", name=of("1..[0]$a$e"))
 
 
 # ---- crosswalks ------------------------------------------------------------------------------
@@ -405,7 +404,7 @@ def generate_33x(spark, sf_dir):
 
 @query("SELECT k AS record_no, p_size || ' pages :' AS extent, 'illustrations ;' AS other, CASE WHEN k % 6 = 0 THEN '2nd edition' END AS edition FROM b")
 def rda_expand(spark, sf_dir):
-    made = bib(spark, sf_dir).select("record_no", call("marc_rda_expand", "fields").alias("fields"))
+    made = bib(spark, sf_dir).select("record_no", F.expr(D.rda_expand("fields")).alias("fields"))
     return made.select("record_no", F.expr(at("300a")).alias("extent"), F.expr(at("300b")).alias("other"), F.expr(at("250a")).alias("edition"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stackwise.functions import crosswalks as X
 from stackwise.functions import edits as D
+from stackwise.functions import marcspec as S
 from stackwise.functions import records as R
 from stackwise.types import FIELDS_DDL, control, data
 
@@ -54,6 +55,22 @@ def test_same_as_record_edits(spark, name):
     assert nulls.first().f is None
 
 
+def test_specs(spark):
+    records = some_records()
+    frame = spark.createDataFrame([(i, "00000nam a22é", r) for i, r in enumerate(records)], f"i int, leader string, fields {FIELDS_DDL}")
+    texts = ["001", "00./0-1", "001/1", "001/#", "001/#-1", "005/1-#", "245", "24.$a", "245[0]$a[#]$b[0-1]", "65.[#]$a", "65.[#-1]$8[1-#]", "650^1", "650[5]$a", "LDR", "LDR/5-7", "LDR/#", "001$a"]
+    row = frame.select("i", *[F.expr(D.spec("leader", "fields", t)).alias(f"c{k}") for k, t in enumerate(texts)]).collect()
+    for r in row:
+        for k, t in enumerate(texts):
+            assert r[f"c{k}"] == S.evaluate(S.parse(t), "00000nam a22é", records[r.i]), (t, records[r.i])
+
+
+def test_rda_words(spark):
+    fields = [data("300", " ", " ", ("a", "xii, 20 p. : col. ill., facsims. (v.1) top.p. p.a"), ("b", "ports.")), data("250", " ", " ", ("a", "2nd ed."), ("b", "ed."))]
+    got = spark.createDataFrame([(fields,)], f"fields {FIELDS_DDL}").select(F.expr(D.rda_expand("fields")).alias("f")).first()
+    assert got.asDict(recursive=True)["f"] == R.rda_expand(fields)
+
+
 def test_holdings(spark):
     records = [r for r in some_records(200) if any(f and f["tag"] == "863" for f in r)]
     frame = spark.createDataFrame([(i, r) for i, r in enumerate(records)], f"i int, fields {FIELDS_DDL}")
