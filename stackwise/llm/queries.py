@@ -96,6 +96,30 @@ ORACLE_SQL: dict[str, str] = {
             sha256(array_to_string(CASE WHEN g IS NULL THEN w
                 ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN lost USING (r)""",
+    "op6_chat_formatting": r"""
+        WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+        s AS (SELECT r, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS lines FROM m),
+        l AS (SELECT r, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM s),
+        v AS (SELECT r, i, line, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS level,
+            substr(line, length(regexp_extract(line, '^[ \t]*(?:>[ \t]?)+', 0)) + 1) AS body FROM l),
+        n AS (SELECT *, trim(body, ' ' || chr(9)) = '' AS blank, lead(CASE WHEN trim(body, ' ' || chr(9)) <> '' THEN level END IGNORE NULLS) OVER (PARTITION BY r ORDER BY i) AS following FROM v),
+        k AS (SELECT * FROM n WHERE NOT (level = 0 AND NOT blank AND coalesce(following, 0) > 0 AND regexp_matches(trim(line),
+            '(?i)^(?:(?:on|am|le|el)\b.{0,300}(?:wrote|schrieb|écrit|escribió)\s*:\s*|-{2,}\s*original message\s*-{2,}\s*)$'))),
+        o AS (SELECT *, lag(blank, 1, true) OVER w OR lag(level) OVER w <> level AS opens FROM k WINDOW w AS (PARTITION BY r ORDER BY i)),
+        g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY r ORDER BY i) AS passage FROM o),
+        piece AS (SELECT r, level, string_agg(body, chr(10) ORDER BY i) AS t FROM g WHERE NOT blank GROUP BY r, passage, level UNION ALL SELECT r, level, body FROM g WHERE NOT blank),
+        words AS (SELECT r, level, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM piece),
+        h AS (SELECT DISTINCT r, level, left(sha256(array_to_string(w, ' ')), 32) AS h FROM words WHERE len(w) > 0),
+        origin AS (SELECT conv_id, h, min(turn) AS original FROM h JOIN m USING (r) WHERE level = 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, h),
+        link AS (SELECT DISTINCT conv_id, turn, level, h, original FROM h JOIN m USING (r) JOIN origin USING (conv_id, h) WHERE level > 0 AND original < turn),
+        parent AS (SELECT conv_id, turn, count(*) AS n_linked, arg_min(original, level * 1000000000000 - original) AS parent FROM link GROUP BY conv_id, turn),
+        up AS (SELECT conv_id, turn, parent AS above, 1::BIGINT AS depth FROM parent UNION ALL SELECT u.conv_id, u.turn, p.parent, u.depth + 1 FROM up u JOIN parent p ON p.conv_id = u.conv_id AND p.turn = u.above),
+        roots AS (SELECT conv_id, turn, arg_max(above, depth) AS root, max(depth) AS depth FROM up GROUP BY conv_id, turn),
+        b AS (SELECT r, regexp_replace(regexp_replace(string_agg(rtrim(line, ' ' || chr(9)), chr(10) ORDER BY i), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM k WHERE level = 0 GROUP BY r),
+        q AS (SELECT r, count(*) AS n FROM h WHERE level > 0 GROUP BY r)
+        SELECT m.conv_id, m.turn, role, coalesce(body, '') AS body, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(body, '') AS message, coalesce(q.n, 0)::BIGINT AS n_quotes,
+            coalesce(n_linked, 0)::BIGINT AS n_linked, parent AS parent_turn, coalesce(root, m.turn) AS root_turn, coalesce(depth, 0)::BIGINT AS depth
+        FROM m LEFT JOIN b USING (r) LEFT JOIN q USING (r) LEFT JOIN parent p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN roots t ON t.conv_id = m.conv_id AND t.turn = m.turn""",
     "op9_mix_sources": f"""
         WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
             ('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 15))::BIGINT AS h FROM documents),

@@ -36,6 +36,21 @@ def test_links(spark):
     assert all(">" not in r.body for r in got.values())
 
 
+def test_against_sql(spark, tmp_path):
+    import duckdb
+
+    from stackwise.llm.queries import ORACLE_SQL, QUERIES
+
+    more = [(5, 0, "user", "a b\nc d\n\ne f", None), (5, 1, "x", "--- Original Message ---\n>a B\n> c\td\n>\n> E f\n\n\n\nreply", None), (5, 2, "y", ">> c d\n> reply\n\r\nOn time wrote:\ntext  ", None), (5, 3, "y", "> reply\n>> e F!", None), (5, 3, "y", "twice", None)]
+    spark.createDataFrame(TALK + more, SCHEMA).repartition(2).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * EXCLUDE (depth) FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["op6_chat_formatting"])
+    names = [c[0] for c in want.description]
+    got = QUERIES["op6_chat_formatting"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 def test_long_chains_and_repeated_rows(spark):
     chain = [(7, k, "user", (f"> note number {k - 1}\n" if k else "") + f"note number {k}", None) for k in range(70)]
     got = link_quotes(spark.createDataFrame(chain + chain[3:5], SCHEMA)).collect()
