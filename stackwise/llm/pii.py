@@ -69,7 +69,8 @@ def disclosures(texts: DataFrame, near: DataFrame, support: int, disclose: float
     terms = spans.broadcast_if_small(materialise(pairs.select("term").distinct()), "term")
     entities = near.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("df_entity"))
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_terms = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
+    # Counted before they meet the terms, of which there are more the larger the corpus is.
+    n_terms = words.groupBy("term").agg(F.count("*").alias("df_term")).join(terms, "term")
     total = texts.agg(F.count("*").alias("total"))
     ratio = F.log2(F.col("df_both") * F.col("total") / (F.col("df_entity") * F.col("df_term"))) / F.log2(F.col("total") / F.col("df_entity"))
     rated = pairs.join(entities, "entity").join(n_terms, "term").join(F.broadcast(total))  # one row, by construction
