@@ -191,8 +191,8 @@ FUNCTIONS: dict[str, tuple[Callable, str, str, str]] = {
 
 
 @cache
-def udf(name: str):
-    """The Arrow UDF of a function."""
+def udf(name: str, once: bool = False):
+    """The Arrow UDF of a function; ``once`` gives a copy that Catalyst won't duplicate."""
     function, _, ddl, _ = FUNCTIONS[name]
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
@@ -204,7 +204,8 @@ def udf(name: str):
         return pa.array([function(*row) for row in rows], kind)
 
     run.__name__ = name
-    return F.arrow_udf(run, ddl)
+    made = F.arrow_udf(run, ddl)
+    return made.asNondeterministic() if once else made
 
 
 def call(name: str, *arguments: Column | str) -> Column:
@@ -212,6 +213,11 @@ def call(name: str, *arguments: Column | str) -> Column:
     return udf(name)(*[F.expr(a) if isinstance(a, str) else a for a in arguments])
 
 
+def call_once(name: str, *arguments: Column | str) -> Column:
+    """``call``, marked so that a later filter on the column doesn't evaluate it a second time."""
+    return udf(name, True)(*[F.expr(a) if isinstance(a, str) else a for a in arguments])
+
+
 def register(spark: SparkSession) -> None:
     for name in FUNCTIONS:
         spark.udf.register(name, udf(name))

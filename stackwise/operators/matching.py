@@ -36,7 +36,7 @@ def dedupe_candidates(records: DataFrame, threshold: float, block: str | None =
     a, b = _sides(keyed, keyed, "a", "b")
     ordered = (F.col("file_a") < F.col("file_b")) | ((F.col("file_a") == F.col("file_b")) & (F.col("record_no_a") < F.col("record_no_b")))
     pairs = a.join(b, ordered & (F.col("block_a") == F.col("block_b")) if block else ordered)
-    scored = pairs.withColumn("similarity", udfs.call("jaro_winkler_similarity", "naco_a", "naco_b")).withColumn("same_matchkey", _same_key("a", "b"))
+    scored = pairs.withColumn("similarity", udfs.call_once("jaro_winkler_similarity", "naco_a", "naco_b")).withColumn("same_matchkey", _same_key("a", "b"))
     kept = scored.filter((F.col("similarity") >= threshold) | F.col("same_matchkey"))
     return kept.select("file_a", "record_no_a", "file_b", "record_no_b", "title_a", "title_b", "similarity", "same_matchkey").orderBy("file_a", "record_no_a", "file_b", "record_no_b")
 
@@ -46,7 +46,7 @@ def _nearest(queries: DataFrame, targets: DataFrame, a: str, b: str, k: int, dro
         queries, targets = (x.withColumn("block", F.expr(block)) for x in (queries, targets))
     q, t = _sides(queries, targets, a, b)
     pairs = q.join(t, F.col(f"block_{a}") == F.col(f"block_{b}")) if block else q.crossJoin(t)
-    scored = pairs.withColumn("similarity", udfs.call("jaro_winkler_similarity", f"tkey_{a}", f"tkey_{b}")).filter("similarity IS NOT NULL")
+    scored = pairs.withColumn("similarity", udfs.call_once("jaro_winkler_similarity", f"tkey_{a}", f"tkey_{b}")).filter("similarity IS NOT NULL")
     # Ranked before anything is dropped: the record itself counts among its nearest.
     rank = F.row_number().over(Window.partitionBy(f"file_{a}", f"record_no_{a}").orderBy(F.desc("similarity"), f"file_{b}", f"record_no_{b}"))
     best = scored.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("same_matchkey", _same_key(a, b))
@@ -77,7 +77,7 @@ def each_heading(records: DataFrame) -> DataFrame:
 def nearest_headings(records: DataFrame, labels: DataFrame, min_similarity: float = 0.0) -> DataFrame:
     """For each distinct heading the three nearest of ``labels`` (column label)."""
     found = each_heading(records).groupBy("heading").agg(F.count("*").alias("n_occurrences")).withColumn("hkey", udfs.call("marc_naco", "heading"))
-    scored = found.crossJoin(labels.select("label", udfs.call("marc_naco", "label").alias("lkey"))).withColumn("similarity", udfs.call("jaro_winkler_similarity", "hkey", "lkey")).filter("similarity IS NOT NULL")
+    scored = found.crossJoin(labels.select("label", udfs.call("marc_naco", "label").alias("lkey"))).withColumn("similarity", udfs.call_once("jaro_winkler_similarity", "hkey", "lkey")).filter("similarity IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("heading").orderBy(F.desc("similarity"), "label"))
     best = scored.withColumn("rank", rank).filter((F.col("rank") <= 3) & (F.col("similarity") >= min_similarity))
     return best.select("heading", "n_occurrences", "label", "similarity").orderBy(F.desc("n_occurrences"), "heading", F.desc("similarity"), "label")
@@ -85,7 +85,7 @@ def nearest_headings(records: DataFrame, labels: DataFrame, min_similarity: floa
 
 def cluster_headings(records: DataFrame, method: str = "fingerprint") -> DataFrame:
     """Headings that share a key, with their variants."""
-    keys = {"fingerprint": lambda: udfs.call("marc_fingerprint", "heading"), "ngram": lambda: udfs.call("marc_ngram_fingerprint", F.col("heading"), F.lit(2))}
+    keys = {"fingerprint": lambda: udfs.call_once("marc_fingerprint", "heading"), "ngram": lambda: udfs.call_once("marc_ngram_fingerprint", F.col("heading"), F.lit(2))}
     if method not in keys:
         raise ValueError("method must be fingerprint or ngram")
     # Distinct headings first: a frequent heading is normalised once and moves as one row.

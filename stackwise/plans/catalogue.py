@@ -16,7 +16,7 @@ from ..functions import expr as E
 from ..functions import udfs
 from ..operators import matching, reports, tasks
 from ..types import FIELD_DDL, FIELDS_DDL
-from .projection import SQL, bib
+from .projection import SQL, bib, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -481,7 +481,7 @@ def from_delimited(spark, sf_dir):
 def holdings(spark, sf_dir):
     data = lambda tag, parts: f"named_struct('tag', '{tag}', 'ind1', ' ', 'ind2', ' ', 'value', CAST(NULL AS string), 'subfields', array({', '.join(f"named_struct('code', '{c}', 'value', {v})" for c, v in parts)}))"
     fields = f"CAST(array({data('853', (('8', "'1'"), ('a', "'v.'"), ('b', "'no.'"), ('i', "'x'"), ('c', "'(year)'")))}, {data('863', (('8', "'1.1'"), ('a', 'CAST(l_linenumber AS string)'), ('b', 'CAST(CAST(l_quantity AS BIGINT) AS string)'), ('c', 'CAST(year(l_shipdate) AS string)')))}) AS {FIELDS_DDL})"
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.expr(fields).alias("fields"))
+    lines = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).select("l_orderkey", "l_linenumber", F.expr(fields).alias("fields"))
     paired = lines.select(F.col("l_orderkey").alias("order_no"), F.col("l_linenumber").alias("line_no"), F.explode(F.expr(D.holdings_pairs("fields"))).alias("p"))
     return paired.select("order_no", "line_no", F.expr(D.expand_863("p.caption_field", "p.value_field")).alias("enumeration"))
 
