@@ -1,7 +1,8 @@
 """Duplicates, nearest titles, heading clusters and reconciliation.
 
-Keys are computed once a record.  The fuzzy operators are exact by definition and so compare all
-pairs; ``block`` restricts them to pairs that share a key, which is what scales.
+Keys are computed once a record.  The fuzzy operators are exact over all pairs: records with equal
+keys are one class, and only distinct keys are compared.  ``block`` restricts them to pairs that
+share a key.
 """
 
 from __future__ import annotations
@@ -27,6 +28,24 @@ def _same_key(a: str, b: str) -> Column:
     return F.coalesce(F.col(f"matchkey_{a}") == F.col(f"matchkey_{b}"), F.lit(False))
 
 
+def _least_ratio(threshold: float) -> float:
+    """The least ratio of lengths at which a Jaro-Winkler similarity can reach ``threshold``: at most
+    0.4 of what Jaro leaves is added, over 0.7 only, and Jaro is (m/|s| + m/|t| + 1)/3 at most."""
+    jaro = threshold if threshold <= 0.7 else max(0.7, (threshold - 0.4) / 0.6)
+    return max(0.0, 3 * jaro - 2 - 1e-9)
+
+
+def _alike(keyed: DataFrame, threshold: float) -> DataFrame:
+    """(naco_a, naco_b, similarity) of distinct titles at least ``threshold`` alike, in both orders,
+    as Jaro-Winkler need not be symmetric; compared are those whose lengths allow it."""
+    keys = keyed.filter("naco IS NOT NULL").select("naco").distinct().withColumn("n", F.octet_length("naco"))
+    ratio = min(1.0, _least_ratio(threshold))
+    longer = keys.select(F.col("naco").alias("long"), F.explode(F.sequence(F.ceil(F.col("n") * ratio).cast("int"), "n")).alias("n"))
+    pairs = longer.join(keys.select(F.col("naco").alias("short"), "n"), "n")
+    both = pairs.select(F.col("long").alias("naco_a"), F.col("short").alias("naco_b")).union(pairs.filter("octet_length(short) < octet_length(long)").select("short", "long"))
+    return both.withColumn("similarity", udfs.call_once("jaro_winkler_similarity", "naco_a", "naco_b")).filter(F.col("similarity") >= threshold)
+
+
 def dedupe_candidates(records: DataFrame, threshold: float, block: str | None = None) -> DataFrame:
     """Unordered pairs whose titles are at least ``threshold`` alike or whose match keys are equal.
     ``block`` is an SQL expression over naco, tkey and matchkey that candidates must share."""
@@ -35,9 +54,15 @@ def dedupe_candidates(records: DataFrame, threshold: float, block: str | None =
         keyed = keyed.withColumn("block", F.expr(block))
     a, b = _sides(keyed, keyed, "a", "b")
     ordered = (F.col("file_a") < F.col("file_b")) | ((F.col("file_a") == F.col("file_b")) & (F.col("record_no_a") < F.col("record_no_b")))
-    pairs = a.join(b, ordered & (F.col("block_a") == F.col("block_b")) if block else ordered)
-    scored = pairs.withColumn("similarity", udfs.call_once("jaro_winkler_similarity", "naco_a", "naco_b")).withColumn("same_matchkey", _same_key("a", "b"))
-    kept = scored.filter((F.col("similarity") >= threshold) | F.col("same_matchkey"))
+    if block:
+        pairs = a.join(b, ordered & (F.col("block_a") == F.col("block_b")))
+        scored = pairs.withColumn("similarity", udfs.call_once("jaro_winkler_similarity", "naco_a", "naco_b")).withColumn("same_matchkey", _same_key("a", "b"))
+        kept = scored.filter((F.col("similarity") >= threshold) | F.col("same_matchkey"))
+    else:
+        alike = a.join(_alike(keyed, threshold), "naco_a").join(b, "naco_b").filter(ordered).withColumn("same_matchkey", _same_key("a", "b"))
+        same = a.join(b, ordered & (F.col("matchkey_a") == F.col("matchkey_b"))).withColumn("similarity", udfs.call_once("jaro_winkler_similarity", "naco_a", "naco_b"))
+        same = same.filter(F.coalesce(F.col("similarity") < threshold, F.lit(True))).withColumn("same_matchkey", F.lit(True))
+        kept = alike.unionByName(same)
     return kept.select("file_a", "record_no_a", "file_b", "record_no_b", "title_a", "title_b", "similarity", "same_matchkey").orderBy("file_a", "record_no_a", "file_b", "record_no_b")
 
 
@@ -45,10 +70,24 @@ def _nearest(queries: DataFrame, targets: DataFrame, a: str, b: str, k: int, dro
     if block:
         queries, targets = (x.withColumn("block", F.expr(block)) for x in (queries, targets))
     q, t = _sides(queries, targets, a, b)
-    pairs = q.join(t, F.col(f"block_{a}") == F.col(f"block_{b}")) if block else q.crossJoin(t)
-    scored = pairs.withColumn("similarity", udfs.call_once("jaro_winkler_similarity", f"tkey_{a}", f"tkey_{b}")).filter("similarity IS NOT NULL")
+    of_record = Window.partitionBy(f"file_{a}", f"record_no_{a}")
+    if not block:
+        # Equal keys are equally near, so of each target key the first k records are enough, and
+        # they are ranked once for each query key.
+        first = F.row_number().over(Window.partitionBy(f"tkey_{b}").orderBy(f"file_{b}", f"record_no_{b}"))
+        t = t.filter(f"tkey_{b} IS NOT NULL").withColumn("first", first).filter(F.col("first") <= k).drop("first")
+        keys = q.filter(f"tkey_{a} IS NOT NULL").select(f"tkey_{a}").distinct().crossJoin(t.select(f"tkey_{b}").distinct())
+        near = keys.withColumn("similarity", udfs.call_once("jaro_winkler_similarity", f"tkey_{a}", f"tkey_{b}")).filter("similarity IS NOT NULL")
+        nearest_keys = F.row_number().over(Window.partitionBy(f"tkey_{a}").orderBy(F.desc("similarity"), f"file_{b}", f"record_no_{b}"))
+        # A key is among the k nearest only if fewer than k keys are nearer.
+        level = F.rank().over(Window.partitionBy(f"tkey_{a}").orderBy(F.desc("similarity")))
+        near = near.withColumn("level", level).filter(F.col("level") <= k).drop("level").join(t, f"tkey_{b}")
+        scored = q.join(near.withColumn("nearest", nearest_keys).filter(F.col("nearest") <= k).drop("nearest"), f"tkey_{a}")
+    else:
+        pairs = q.join(t, F.col(f"block_{a}") == F.col(f"block_{b}"))
+        scored = pairs.withColumn("similarity", udfs.call_once("jaro_winkler_similarity", f"tkey_{a}", f"tkey_{b}")).filter("similarity IS NOT NULL")
     # Ranked before anything is dropped: the record itself counts among its nearest.
-    rank = F.row_number().over(Window.partitionBy(f"file_{a}", f"record_no_{a}").orderBy(F.desc("similarity"), f"file_{b}", f"record_no_{b}"))
+    rank = F.row_number().over(of_record.orderBy(F.desc("similarity"), f"file_{b}", f"record_no_{b}"))
     best = scored.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("same_matchkey", _same_key(a, b))
     if drop_self:
         best = best.filter((F.col(f"file_{a}") != F.col(f"file_{b}")) | (F.col(f"record_no_{a}") != F.col(f"record_no_{b}")))

@@ -285,6 +285,28 @@ def nearest_matches(spark, sf_dir):
     return found.select("record_no_q", "record_no_t", F.round("similarity", 9).alias("similarity"))
 
 
+# The three queries above are held to SQL that compares within blocks; these compare all records.
+
+
+@query(_KEYS + "SELECT x.k AS record_no_a, y.k AS record_no_b, round(jaro_winkler_similarity(x.nk, y.nk), 9) AS similarity, x.mk = y.mk AS same_matchkey FROM m x JOIN m y ON x.k < y.k WHERE jaro_winkler_similarity(x.nk, y.nk) >= 0.93 OR x.mk = y.mk")
+def dedupe_candidates_all(spark, sf_dir):
+    found = matching.dedupe_candidates(bib(spark, sf_dir), 0.93)
+    return found.select("record_no_a", "record_no_b", F.round("similarity", 9).alias("similarity"), "same_matchkey")
+
+
+@query(_KEYS + ", s AS (SELECT x.k AS a, y.k AS b, jaro_winkler_similarity(x.tk, y.tk) AS sim, x.mk = y.mk AS same FROM m x, m y), w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM s WHERE sim IS NOT NULL) SELECT a AS record_no_a, b AS record_no_b, round(sim, 9) AS similarity, same AS same_matchkey FROM w WHERE rn <= 6 AND a <> b AND (sim >= 0.8 OR same)")
+def nearest_dupes_all(spark, sf_dir):
+    found = matching.nearest_dupes(bib(spark, sf_dir), 0.8)
+    return found.select("record_no_a", "record_no_b", F.round("similarity", 9).alias("similarity"), "same_matchkey")
+
+
+@query(_KEYS + ", s AS (SELECT x.k AS a, y.k AS b, jaro_winkler_similarity(x.tk, y.tk) AS sim FROM m x, m y WHERE x.k % 50 = 0), w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM s WHERE sim IS NOT NULL) SELECT a AS record_no_q, b AS record_no_t, round(sim, 9) AS similarity FROM w WHERE rn <= 5 AND sim >= 0.8")
+def nearest_matches_all(spark, sf_dir):
+    records = bib(spark, sf_dir)
+    found = matching.nearest_matches(records.filter("record_no % 50 = 0"), records, 0.8)
+    return found.select("record_no_q", "record_no_t", F.round("similarity", 9).alias("similarity"))
+
+
 @query("SELECT k AS record_no, p_brand || CASE WHEN k % 4 = 0 THEN ',' || ' author' ELSE ',' END AS heading, p_brand || ' Company' AS authorized FROM b WHERE k % 4 <> 0 AND regexp_replace(p_brand, '[^0-9]', '', 'g')::INT % 2 = 0")
 def authority_flips(spark, sf_dir):
     records = bib(spark, sf_dir)
