@@ -24,6 +24,9 @@ from .kernels import slices
 #: (labels that have longer texts only are learned from those).
 PER_LABEL, SAMPLE_ROWS, SAMPLE_CHARS = 200, 3000, 20_000
 LANDMARKS, FEATURES, RIDGE = 256, 4096, 1e-3
+#: A text is foreign to all labels if it covers less than this share of what all but a hundredth of
+#: the labelled sample cover.
+FOREIGN = 0.6
 _SLOT_BITS = 20
 _LETTERS = np.array([chr(c).isalpha() for c in range(0x33480)])
 _MULTIPLY = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
@@ -36,6 +39,7 @@ class Model:
     landmarks: np.ndarray  # features x landmarks, each landmark of unit length
     weights: np.ndarray  # landmarks x labels
     bias: np.ndarray
+    floor: float = 0.0  # least coverage of a text in one of the labels' languages
 
 
 def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,6 +85,26 @@ def _unit(presence: np.ndarray) -> np.ndarray:
     return presence / np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
 
 
+def _coverage(points: np.ndarray, offsets: np.ndarray, column: np.ndarray, features: int) -> np.ndarray:
+    """Share of each text's n-grams, with repeats and of its greatest n, that are features."""
+    owner, n = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), len(offsets) - 1
+    found = np.zeros(n)
+    for at, slot in _slots(points, offsets):
+        total = np.bincount(owner[at], minlength=n)
+        known = np.bincount(owner[at], weights=column[slot] < features, minlength=n)
+        found = np.where(total > 0, known / np.maximum(total, 1), found)
+    return found
+
+
+def coverage(model: Model | None, texts: list[str]) -> np.ndarray:
+    """Share of each text's n-grams that the model knows, from 0 to 1.  Unlike scores, which for k
+    labels are at least 1/k, it falls to 0 for languages that no label has."""
+    if model is None or not len(texts):
+        return np.zeros(len(texts))
+    points, offsets, has = _code_points(texts)
+    return np.where(has, _coverage(points, offsets, model.column, model.landmarks.shape[0]), 0.0)
+
+
 def fit(texts: list[str], labels: list[str]) -> Model | None:
     """The model of a sample; None if no text has a letter.  Deterministic."""
     points, offsets, has = _code_points(texts)
@@ -108,7 +132,11 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
     ridge = RIDGE * len(x) * np.eye(phi.shape[1])
     ridge[-1, -1] = 1e-9
     w = np.linalg.solve(phi.T @ phi + ridge, phi.T @ y)
-    return Model(names, column, marks.T.astype(np.float32), (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32))
+    # Landmarks are known by construction; the others tell what a text not learned from covers.
+    others = np.setdiff1d(np.arange(len(x)), chosen)
+    covered = _coverage(points, offsets, column, len(slots))[others if len(others) else slice(None)]
+    floor = FOREIGN * float(np.quantile(covered, 0.01))
+    return Model(names, column, marks.T.astype(np.float32), (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32), floor)
 
 
 def predict(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -143,29 +171,34 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return fit([t for own in sample.values() for t in own], [l for l, own in sample.items() for _ in own])
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1), from the whole text alone.
+def identify(docs: DataFrame, model: Model | None, text: str = "text", covered: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (0 to 1), from the whole text alone; with
+    ``covered`` also ``coverage`` (0 to 1), to be held against the model's ``floor``.
 
     Null texts and texts without a letter get ``und`` and 0, as does every text without a model
     (no labelled row).  Repeated rows get equal results; input columns named like a result are
     replaced; an empty table gives no rows.
     """
-    docs = without(docs, "lang_pred", "score", "__text")
+    results = ["lang_pred", "score", *(["coverage"] if covered else [])]
+    docs = without(docs, *results, "__text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.withColumn("__text", F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")))
     fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2 << 20, "__text"):
-            labels, scores = [], []
+            labels, scores, shares = [], [], []
             texts = part.column(part.num_columns - 1).to_pylist()
             for at in range(0, len(texts), 1024):
                 own, score = predict(shared.value, texts[at : at + 1024])
                 labels += own
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(labels, pa.string()), pa.array(np.concatenate(scores))], names=[*part.schema.names[:-1], "lang_pred", "score"])
+                if covered:
+                    shares.append(coverage(shared.value, texts[at : at + 1024]))
+            found = [pa.array(labels, pa.string()), *(pa.array(np.concatenate(x)) for x in (scores, shares) if x)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found], names=[*part.schema.names[:-1], *results])
 
-    return rows.mapInArrow(work, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(work, f"{fields}, lang_pred string, score double{', coverage double' if covered else ''}")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

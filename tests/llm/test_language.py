@@ -65,3 +65,14 @@ def test_presence_matches_a_plain_kernel():
         for j in range(i):
             a, b = grams(sample[i]), grams(sample[j])
             assert abs(x[i] @ x[j] - len(a & b) / (len(a) * len(b)) ** 0.5) < 0.02
+
+
+def test_unseen_languages_are_not_covered():
+    """Scores of k labels are 1/k or more whatever the text is; coverage is not."""
+    rng = random.Random(4)
+    sample = [text(rng, x, 20) for x in SEEDS for _ in range(80)]
+    model = L.fit(sample, [x for x in SEEDS for _ in range(80)])
+    foreign = ["Съешь же ещё этих мягких булок", "日本語の文章です", "qxz zzkw vvq xkcd wqz jjq pqzx"]
+    assert (L.predict(model, foreign)[1] >= 1 / len(SEEDS) - 1e-3).all()
+    assert (L.coverage(model, foreign) < model.floor).all()
+    assert (L.coverage(model, [text(rng, x, 20) for x in SEEDS for _ in range(50)]) >= model.floor).all()

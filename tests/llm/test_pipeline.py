@@ -80,3 +80,11 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert C.run(spark, str(tmp_path)).collect() == []
+
+
+def test_foreign_texts_are_rejected(spark):
+    rng = random.Random(29)
+    rows = [(i, " ".join(words(rng, lang, 30)), lang) for i in range(200) for lang in [rng.choice(["aa", "bb"])]]
+    rows += [(1000, "Съешь же ещё этих мягких французских булок", None), (1001, "qxz zzkw vvq xkcd wqz jjq", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in C.identify_language(spark, docs, "").collect()} == set(range(200))
