@@ -3,8 +3,9 @@
 E-mail addresses, IP numbers, card numbers and phone numbers are the protected entities.  Words
 near them are judged by corpus statistics: with document frequencies df over N documents, a term t
 discloses entity e by PMI(e; t) / IC(e), where PMI = log2(df(e,t) N / (df(e) df(t))) and
-IC = log2(N / df(e)).  From ``disclose`` on a term is generalised, from ``remove`` on it is removed;
-both need ``support`` documents with the term near the entity, below which a ratio says nothing.
+IC = log2(N / df(e)).  The ratio counts in full where the term stands near the entity in
+``support`` documents, or in all of the entity's if it has fewer, and in proportion below that.  From
+``disclose`` on a term is generalised, from ``remove`` on it is removed.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def disclosures(texts: DataFrame, near: DataFrame, support: int, disclose: float
     """(entity, term, kind) of the terms to generalise (kind 4) or to remove (kind 5).  ``near`` has
     one row a distinct text: ``n`` documents with it and its ``near`` terms."""
     pairs = near.select("n", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("x"))
-    pairs = materialise(pairs.groupBy("x.entity", "x.term").agg(F.sum("n").alias("df_both")).filter(F.col("df_both") >= support))
+    pairs = materialise(pairs.groupBy("x.entity", "x.term").agg(F.sum("n").alias("df_both")))
     terms = spans.broadcast_if_small(materialise(pairs.select("term").distinct()), "term")
     entities = near.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("df_entity"))
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
@@ -73,8 +74,9 @@ def disclosures(texts: DataFrame, near: DataFrame, support: int, disclose: float
     n_terms = words.groupBy("term").agg(F.count("*").alias("df_term")).join(terms, "term")
     total = texts.agg(F.count("*").alias("total"))
     ratio = F.log2(F.col("df_both") * F.col("total") / (F.col("df_entity") * F.col("df_term"))) / F.log2(F.col("total") / F.col("df_entity"))
+    weight = F.least(F.lit(1.0), F.col("df_both") / F.least("df_entity", F.lit(support)))
     rated = pairs.join(entities, "entity").join(n_terms, "term").join(F.broadcast(total))  # one row, by construction
-    return rated.filter("df_entity < total").withColumn("ratio", ratio).filter(F.col("ratio") >= disclose).select("entity", "term", F.when(F.col("ratio") >= remove, 5).otherwise(4).alias("kind"))
+    return rated.filter("df_entity < total").withColumn("ratio", weight * ratio).filter(F.col("ratio") >= disclose).select("entity", "term", F.when(F.col("ratio") >= remove, 5).otherwise(4).alias("kind"))
 
 
 def sanitise(docs: DataFrame, text: str = "text", reach: int = 48, support: int = 3, disclose: float = 0.5, remove: float = 0.95) -> DataFrame:

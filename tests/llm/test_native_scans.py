@@ -99,6 +99,13 @@ def test_disclosing_terms(spark, monkeypatch, limit):
     assert got[48].sanitised == "Wolfgang is about" and got[50].sanitised is None and got[51].sanitised == ""
 
 
+def test_entities_of_one_document_disclose(spark):
+    texts = [f"the cat sat on the mat with the hat number {i}" for i in range(60)] + ["the letter of Wolfgang at w.z@example.org"]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(x.kind, x.value) for x in got[60].terms] == [(5, "letter"), (5, "wolfgang")]
+    assert got[60].sanitised == "the  of  at <EMAIL>" and not any(got[i].terms for i in range(60))
+
+
 @pytest.mark.parametrize("limit", [8_000_000, 0])
 def test_ownership(spark, monkeypatch, limit):
     monkeypatch.setattr(spans, "BROADCAST_CHARS", limit)
