@@ -1,11 +1,12 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
-E-mail addresses, IP numbers, card numbers and phone numbers are the protected entities.  Words
-near them are judged by corpus statistics: with document frequencies df over N documents, a term t
-discloses entity e by PMI(e; t) / IC(e), where PMI = log2(df(e,t) N / (df(e) df(t))) and
-IC = log2(N / df(e)).  The ratio counts in full where the term stands near the entity in
-``support`` documents, or in all of the entity's if it has fewer, and in proportion below that.  From
-``disclose`` on a term is generalised, from ``remove`` on it is removed.
+E-mail addresses, IP numbers, card numbers and phone numbers are the protected entities.  Words of
+the texts that hold them are judged by corpus statistics: with document frequencies df over N
+documents, a term t discloses entity e by PMI(e; t) / IC(e), where PMI = log2(df(e,t) N / (df(e) df(t)))
+and IC = log2(N / df(e)).  The ratio counts in full where the term shares ``support`` documents with
+the entity, or stands within ``reach`` of it in as many, or in all of the entity's if it has fewer;
+below that it counts in proportion.  From ``disclose`` on a term is generalised, from ``remove`` on it
+is removed, wherever it stands in a text with the entity.
 """
 
 from __future__ import annotations
@@ -42,46 +43,68 @@ def _entity(x: Column) -> Column:
 
 
 def _near(text: Column, base: Column, reach: int) -> Column:
-    """Array of (entity, term, start, stop): words of three letters or more that lie whole within
+    """Array of distinct (entity, term): words of three letters or more that lie whole within
     ``reach`` characters of an entity and overlap none."""
 
     def side(x: Column, opens: Column, size: Column) -> Column:
         part = F.substring(text, opens + 1, size)
         whole = lambda t: ((t["start"] > 0) | (opens == 0) | (opens == x["stop"])) & ((t["stop"] < F.length(part)) | (opens + F.length(part) == F.length(text)) | (opens + F.length(part) == x["start"]))
-        found = F.filter(spans.matches(part, TERM), whole)
-        return F.transform(found, lambda t: F.struct(_entity(x).alias("entity"), F.lower(t["value"]).alias("term"), (opens + t["start"]).alias("start"), (opens + t["stop"]).alias("stop")))
+        found = F.filter(spans.matches(part, TERM), lambda t: whole(t) & ~spans.overlaps(base, opens + t["start"], opens + t["stop"]))
+        return F.transform(found, lambda t: F.struct(_entity(x).alias("entity"), F.lower(t["value"]).alias("term")))
 
     def both(x: Column) -> Column:
         left = F.greatest(x["start"] - reach, F.lit(0))
         return F.concat(side(x, left, x["start"] - left), side(x, x["stop"], F.lit(reach)))
 
-    return F.filter(F.flatten(F.transform(base, both)), lambda t: ~spans.overlaps(base, t["start"], t["stop"]))
+    return F.array_distinct(F.flatten(F.transform(base, both)))
+
+
+def _terms(text: Column, base: Column) -> Column:
+    """The distinct words of three letters or more outside the entities."""
+    outside = spans.replaced(text, base, [" "] * len(MARKS))
+    return F.array_distinct(F.transform(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def _key(text: Column, base: Column) -> Column:
     return F.when(F.size(base) > 0, F.sha2(text, 256))
 
 
-def disclosures(texts: DataFrame, near: DataFrame, support: int, disclose: float, remove: float) -> DataFrame:
-    """(entity, term, kind) of the terms to generalise (kind 4) or to remove (kind 5).  ``near`` has
-    one row a distinct text: ``n`` documents with it and its ``near`` terms."""
-    pairs = near.select("n", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("x"))
-    pairs = materialise(pairs.groupBy("x.entity", "x.term").agg(F.sum("n").alias("df_both")))
+def disclosures(texts: DataFrame, held: DataFrame, support: int, disclose: float, remove: float) -> DataFrame:
+    """(entity, term, kind) of the terms to generalise (kind 4) or to remove (kind 5).  ``held`` has
+    one row a distinct text: ``n`` documents with it, its ``entities``, ``words`` and ``near`` pairs.  Of entities
+    that are not ``common`` only the near pairs are rated, see ``_common``."""
+    shared = held.filter(F.size("common") > 0).select("n", "words", F.explode("common").alias("entity")).select("n", "entity", F.explode("words").alias("term"), F.lit(0).alias("n_near"))
+    near = held.select("n", "common", F.explode("near").alias("x"))
+    near = near.select(F.when(F.array_contains("common", F.col("x.entity")), 0).otherwise(F.col("n")).alias("n"), "x.entity", "x.term", F.col("n").alias("n_near"))
+    pairs = shared.unionByName(near).groupBy("entity", "term").agg(F.sum("n").alias("df_both"), F.sum("n_near").alias("df_near"))
+    pairs = materialise(pairs)
     terms = spans.broadcast_if_small(materialise(pairs.select("term").distinct()), "term")
-    entities = near.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("df_entity"))
+    entities = held.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("df_entity"))
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     # Counted before they meet the terms, of which there are more the larger the corpus is.
     n_terms = words.groupBy("term").agg(F.count("*").alias("df_term")).join(terms, "term")
     total = texts.agg(F.count("*").alias("total"))
     ratio = F.log2(F.col("df_both") * F.col("total") / (F.col("df_entity") * F.col("df_term"))) / F.log2(F.col("total") / F.col("df_entity"))
-    weight = F.least(F.lit(1.0), F.col("df_both") / F.least("df_entity", F.lit(support)))
+    weight = F.least(F.lit(1.0), F.greatest(F.col("df_both") / support, F.col("df_near") / F.least("df_entity", F.lit(support))))
     rated = pairs.join(entities, "entity").join(n_terms, "term").join(F.broadcast(total))  # one row, by construction
     return rated.filter("df_entity < total").withColumn("ratio", weight * ratio).filter(F.col("ratio") >= disclose).select("entity", "term", F.when(F.col("ratio") >= remove, 5).otherwise(4).alias("kind"))
 
 
+def _common(held: DataFrame, support: int, disclose: float) -> DataFrame:
+    """``held`` with ``common``, the entities whose whole texts are to be rated.  A term's ratio is
+    one at most, so a far term of an entity in a single document comes to 1 / ``support`` at most:
+    below ``disclose`` these need not be counted, and of near ones the document counts are known."""
+    each = held.select("key", "n", F.explode("entities").alias("entity"))
+    if 1 / support < disclose:
+        counts = each.groupBy("entity").agg(F.sum("n").alias("df")).filter("df > 1").drop("df")
+        each = each.join(counts, "entity")
+    found = spans.broadcast_if_small(materialise(each.groupBy("key").agg(F.collect_list("entity").alias("common"))), "key", "common")
+    return held.join(found, "key", "left").withColumn("common", F.coalesce("common", F.expr("CAST(array() AS array<string>)")))
+
+
 def sanitise(docs: DataFrame, text: str = "text", reach: int = 48, support: int = 3, disclose: float = 0.5, remove: float = 0.95) -> DataFrame:
-    """``docs`` with ``base`` (spans of the entities), ``terms`` (spans of disclosing words near
-    them, kind 4 generalised, 5 removed) and ``sanitised``, the text without either.
+    """``docs`` with ``base`` (spans of the entities), ``terms`` (spans of disclosing words in
+    their texts, kind 4 generalised, 5 removed) and ``sanitised``, the text without either.
 
     Spans are (start, kind, stop, value) in code points, stop exclusive.  Null texts count as empty
     and stay null in ``sanitised``.  Copies count as documents each.  Input columns named like a
@@ -94,13 +117,17 @@ def sanitise(docs: DataFrame, text: str = "text", reach: int = 48, support: int
 
     texts = docs.select(F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text"))
     held = texts.withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
-    held = held.select(F.sha2("text", 256).alias("key"), F.array_distinct(F.transform("base", _entity)).alias("entities"), _near(F.col("text"), F.col("base"), reach).alias("near"))
-    held = materialise(held.groupBy("key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("near").alias("near")))
+    held = held.groupBy("text").agg(F.count("*").alias("n")).withColumn("base", base_spans(F.col("text")))
+    held = held.select(F.sha2("text", 256).alias("key"), "n", "text", "base", F.array_distinct(F.transform("base", _entity)).alias("entities"), _terms(F.col("text"), F.col("base")).alias("words"), _near(F.col("text"), F.col("base"), reach).alias("near"))
+    held = _common(materialise(held), support, disclose)
     rated = spans.broadcast_if_small(materialise(disclosures(texts, held, support, disclose, remove)), "entity", "term")
-    each = held.select("key", F.explode("near").alias("x")).select("key", "x.*").join(rated, ["entity", "term"])
-    each = each.groupBy("key", "start", "stop").agg(F.max("kind").alias("kind"), F.first("term").alias("value"))
-    found = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "value"))).alias("terms"))
-    found = materialise(found.select(F.col("key").alias("__key"), F.col("terms").cast(f"array<{spans.SPAN}>").alias("terms")))
+    each = held.filter(F.size("common") > 0).select("key", "words", F.explode("common").alias("entity")).select("key", "entity", F.explode("words").alias("term"))
+    lone = held.select("key", F.explode(F.filter("near", lambda x: ~F.array_contains("common", x["entity"]))).alias("x")).select("key", "x.entity", "x.term")
+    each = each.unionByName(lone).join(rated, ["entity", "term"]).groupBy("key", "term").agg(F.max("kind").alias("kind"))
+    kinds = each.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
+    marked = held.select("key", "text", "base").join(kinds, "key")
+    own = F.filter(spans.looked_up(F.col("text"), TERM, F.col("kinds")), lambda x: ~spans.overlaps(F.col("base"), x["start"], x["stop"]))
+    found = materialise(marked.select(F.col("key").alias("__key"), own.cast(f"array<{spans.SPAN}>").alias("terms")))
     found = spans.broadcast_if_small(found, "__key", "terms")
     # Rows without an entity join nothing; a key of their own keeps them from meeting in one task.
     rows = rows.withColumn("__key", F.coalesce("__key", F.monotonically_increasing_id().cast("string")))

@@ -39,6 +39,23 @@ def matches(text: Column, pattern: str, kind: int = 0, guard: Column | None = No
     return found if guard is None else F.when(guard, found).otherwise(none())
 
 
+def looked_up(text: Column, pattern: str, kinds: Column) -> Column:
+    """Array of (start, kind, stop, value) of those matches whose lower case is a key of the map
+    ``kinds``, which gives their kind; the value is in lower case."""
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    both = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, v: F.struct(g.alias("gap"), F.length(v).alias("size"), F.lower(v).alias("value")))
+    rated = F.transform(F.filter(both, lambda x: x["value"].isNotNull()), lambda x: F.struct(x["gap"], x["size"], x["value"], kinds[x["value"]].alias("kind")))
+    start = F.struct(F.lit(0).alias("at"), none().alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens = acc["at"] + x["gap"]
+        stop = opens + x["size"]
+        span = F.struct(opens.alias("start"), x["kind"].alias("kind"), stop.alias("stop"), x["value"].alias("value"))
+        return F.struct(stop.alias("at"), F.when(x["kind"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(span))).alias("found"))
+
+    return F.aggregate(rated, start, step, lambda acc: acc["found"])
+
+
 def ordered(*arrays: Column) -> Column:
     """All spans by start, then kind as listed."""
     return F.array_sort(F.concat(*arrays))

@@ -106,6 +106,18 @@ def test_entities_of_one_document_disclose(spark):
     assert got[60].sanitised == "the  of  at <EMAIL>" and not any(got[i].terms for i in range(60))
 
 
+def test_disclosing_terms_in_the_whole_text(spark):
+    """Terms far from the entity are rated, and every occurrence of a disclosing one is marked."""
+    filler = "the cat sat on the mat with the hat and the dog"
+    texts = [f"{filler} number {i}" for i in range(60)]
+    texts += [f"{'é' * i} Wolfgang at w.z@example.org {filler} {filler} {filler} Amadeus {filler} wolfgang" for i in range(3)]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in (60, 61, 62):
+        assert [texts[i][x.start : x.stop] for x in got[i].terms if x.value in ("wolfgang", "amadeus")] == ["Wolfgang", "Amadeus", "wolfgang"]
+        assert "amadeus" not in got[i].sanitised.lower() and "wolfgang" not in got[i].sanitised.lower() and filler in got[i].sanitised
+    assert not any(got[i].terms for i in range(60))
+
+
 @pytest.mark.parametrize("limit", [8_000_000, 0])
 def test_ownership(spark, monkeypatch, limit):
     monkeypatch.setattr(spans, "BROADCAST_CHARS", limit)
