@@ -5,25 +5,64 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A file of this size or less is read by one task.
+ONE_TASK = 128 << 20
+_OPEN: list[list[str]] = []  # scratch folders made in each open ``scope``
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it is read from fewer files than there are and none is large
+    enough to be read by several tasks; else as it is."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < files < cores and size <= files * ONE_TASK else df
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.  Only where
-    that setting is absent (local tests) a folder of this machine is used."""
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; it goes when
+    the application ends.  Only a local session (tests) may do without that setting."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = f"file://{tempfile.gettempdir()}/stackwise-scratch"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/stackwise/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    own = f"{top.rstrip('/')}/stackwise/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    folder = f"{own}/{uuid.uuid4().hex}"
+    for made in _OPEN[-1:]:
+        made.append(folder)
+    return folder
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The list of the scratch folders made inside, for the caller to ``remove``."""
+    _OPEN.append([])
+    try:
+        yield _OPEN[-1]
+    finally:
+        _OPEN.pop()
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -43,18 +82,16 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     writer = df.repartition(n, F.col(key)).write.option("compression", "zstd").option("path", scratch_dir(spark))
     writer.bucketBy(n, key).format("parquet").saveAsTable(name)
     release(spark)
-    return spark.table(name)
+    table = spark.table(name)
+    table.schema  # resolved: the plan keeps files and buckets, so that the catalogue can forget the name
+    spark.sql(f"DROP TABLE {quoted(name)}")  # an external table: its files stay
+    return table
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Removes the scratch tables of this application; results that still read them must be written
-    before."""
-    for table in spark.catalog.listTables():
-        if table.name.startswith("stackwise_"):
-            spark.sql(f"DROP TABLE IF EXISTS {quoted(table.name)}")
-    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark).rsplit("/", 1)[0])
-    top.getFileSystem(hadoop).delete(top, True)
+    """Removes the scratch tables of this application before it ends; results that still read them
+    must be written before."""
+    remove(spark, [scratch_dir(spark).rsplit("/", 1)[0]])
 
 
 def release(spark: SparkSession) -> None:
