@@ -5,8 +5,9 @@ the texts that hold them are judged by corpus statistics: with document frequenc
 documents, a term t discloses entity e by PMI(e; t) / IC(e), where PMI = log2(df(e,t) N / (df(e) df(t)))
 and IC = log2(N / df(e)).  The ratio counts in full where the term shares ``support`` documents with
 the entity, or stands within ``reach`` of it in as many, or in all of the entity's if it has fewer;
-below that it counts in proportion.  From ``disclose`` on a term is generalised, from ``remove`` on it
-is removed, wherever it stands in a text with the entity.
+below that it counts in proportion.  From ``disclose`` on a term is generalised to the class that its
+shape shows (a name, an acronym, any other word), from ``remove`` on it is removed, wherever it stands
+in a text with the entity.  Ratios are rounded, so that a term at a threshold is judged alike everywhere.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from . import spans
 from .common import materialise, quoted, without
 
-KINDS = ("email", "ip", "card", "phone", "term")
-MARKS = ["<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<TERM>", ""]
+KINDS = ("email", "ip", "card", "phone", "term", "removed_term", "name_term", "acronym_term")
+MARKS = ["<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<TERM>", "", "<NAME>", "<ACRONYM>"]
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -59,6 +60,12 @@ def _near(text: Column, base: Column, reach: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(base, both)))
 
 
+def _class(word: Column, kind: Column) -> Column:
+    """The kind of a word to generalise by its shape; others keep theirs."""
+    shape = F.when(word.rlike(r"^\p{Lu}+$"), 7).when(word.rlike(r"^\p{Lu}"), 6).otherwise(4)
+    return F.when(kind == 4, shape).otherwise(kind)
+
+
 def _terms(text: Column, base: Column) -> Column:
     """The distinct words of three letters or more outside the entities."""
     outside = spans.replaced(text, base, [" "] * len(MARKS))
@@ -87,7 +94,7 @@ def disclosures(texts: DataFrame, held: DataFrame, support: int, disclose: float
     ratio = F.log2(F.col("df_both") * F.col("total") / (F.col("df_entity") * F.col("df_term"))) / F.log2(F.col("total") / F.col("df_entity"))
     weight = F.least(F.lit(1.0), F.greatest(F.col("df_both") / support, F.col("df_near") / F.least("df_entity", F.lit(support))))
     rated = pairs.join(entities, "entity").join(n_terms, "term").join(F.broadcast(total))  # one row, by construction
-    return rated.filter("df_entity < total").withColumn("ratio", weight * ratio).filter(F.col("ratio") >= disclose).select("entity", "term", F.when(F.col("ratio") >= remove, 5).otherwise(4).alias("kind"))
+    return rated.filter("df_entity < total").withColumn("ratio", F.round(weight * ratio, 9)).filter(F.col("ratio") >= disclose).select("entity", "term", F.when(F.col("ratio") >= remove, 5).otherwise(4).alias("kind"))
 
 
 def _common(held: DataFrame, support: int, disclose: float) -> DataFrame:
@@ -104,7 +111,7 @@ def _common(held: DataFrame, support: int, disclose: float) -> DataFrame:
 
 def sanitise(docs: DataFrame, text: str = "text", reach: int = 48, support: int = 3, disclose: float = 0.5, remove: float = 0.95) -> DataFrame:
     """``docs`` with ``base`` (spans of the entities), ``terms`` (spans of disclosing words in
-    their texts, kind 4 generalised, 5 removed) and ``sanitised``, the text without either.
+    their texts: kinds 4, 6 and 7 generalised, 5 removed) and ``sanitised``, the text without either.
 
     Spans are (start, kind, stop, value) in code points, stop exclusive.  Null texts count as empty
     and stay null in ``sanitised``.  Copies count as documents each.  Input columns named like a
@@ -126,7 +133,7 @@ def sanitise(docs: DataFrame, text: str = "text", reach: int = 48, support: int
     each = each.unionByName(lone).join(rated, ["entity", "term"]).groupBy("key", "term").agg(F.max("kind").alias("kind"))
     kinds = each.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
     marked = held.select("key", "text", "base").join(kinds, "key")
-    own = F.filter(spans.looked_up(F.col("text"), TERM, F.col("kinds")), lambda x: ~spans.overlaps(F.col("base"), x["start"], x["stop"]))
+    own = F.filter(spans.looked_up(F.col("text"), TERM, F.col("kinds"), _class), lambda x: ~spans.overlaps(F.col("base"), x["start"], x["stop"]))
     found = materialise(marked.select(F.col("key").alias("__key"), own.cast(f"array<{spans.SPAN}>").alias("terms")))
     found = spans.broadcast_if_small(found, "__key", "terms")
     # Rows without an entity join nothing; a key of their own keeps them from meeting in one task.

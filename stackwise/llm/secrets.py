@@ -2,7 +2,8 @@
 
 Candidates are assignments, access keys, long hex runs and long mixed tokens.  Their hashes are
 counted by distinct owners and by distinct repositories (an owner's documents): what ``shared``
-or more owners hold is a widely copied example; the rest looks live.
+or more owners hold, or ``copied`` or more repositories, is a widely copied example; what few
+repositories of few owners hold looks live.
 """
 
 from __future__ import annotations
@@ -48,10 +49,10 @@ def ownership(held: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", shared: int = 3) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", shared: int = 3, copied: int = 10) -> DataFrame:
     """``docs`` with ``base`` (spans of the base matches), ``live`` (spans of credentials that fewer
-    than ``shared`` owners hold), ``n_example`` (credentials that more hold) and ``redacted``, the
-    text without base and live spans.
+    than ``shared`` owners and fewer than ``copied`` repositories hold), ``n_example`` (credentials
+    that more hold) and ``redacted``, the text without base and live spans.
 
     Spans are (start, kind, stop, value) in code points, stop exclusive.  Null texts count as empty
     and stay null in ``redacted``.  Null owners are one owner; null repositories go by their text.
@@ -69,7 +70,7 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository:
         F.col("__all").alias("credentials"),
     )
     held = materialise(held)
-    owned = ownership(held).filter(F.col("n_owners") < shared).select("hash")
+    owned = ownership(held).filter((F.col("n_owners") < shared) & (F.col("n_repositories") < copied)).select("hash")
     owned = spans.broadcast_if_small(materialise(owned), "hash")
     texts = held.groupBy("key").agg(F.first("credentials").alias("credentials"))
     each = texts.select("key", F.explode("credentials").alias("x")).select("key", "x.start", "x.stop", "x.hash").join(owned, "hash")

@@ -8,6 +8,7 @@ them from scanning a run of characters more than once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,12 +40,13 @@ def matches(text: Column, pattern: str, kind: int = 0, guard: Column | None = No
     return found if guard is None else F.when(guard, found).otherwise(none())
 
 
-def looked_up(text: Column, pattern: str, kinds: Column) -> Column:
+def looked_up(text: Column, pattern: str, kinds: Column, refined: Callable[[Column, Column], Column]) -> Column:
     """Array of (start, kind, stop, value) of those matches whose lower case is a key of the map
-    ``kinds``, which gives their kind; the value is in lower case."""
+    ``kinds``; the value is in lower case.  Their kind is ``refined`` of the match as it stands and
+    the map's value."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    both = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, v: F.struct(g.alias("gap"), F.length(v).alias("size"), F.lower(v).alias("value")))
-    rated = F.transform(F.filter(both, lambda x: x["value"].isNotNull()), lambda x: F.struct(x["gap"], x["size"], x["value"], kinds[x["value"]].alias("kind")))
+    both = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, v: F.struct(g.alias("gap"), v.alias("word"), F.lower(v).alias("value")))
+    rated = F.transform(F.filter(both, lambda x: x["value"].isNotNull()), lambda x: F.struct(x["gap"], F.length(x["word"]).alias("size"), x["value"], refined(x["word"], kinds[x["value"]]).alias("kind")))
     start = F.struct(F.lit(0).alias("at"), none().alias("found"))
 
     def step(acc: Column, x: Column) -> Column:

@@ -60,7 +60,7 @@ SECRETS = [None, "", "token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"", "Pa
 SECRETS += [noise(["token", "secret", "=", ":", " ", '"', "a", "AKIA", "Z", "9", "f0", "é", "\n"], rng.randint(1, 120)) for _ in range(400)]
 
 
-@pytest.mark.parametrize("brute, op, texts, added", [(brute_pii, "op2_pii", PIII, {"term", "removed_term"}), (brute_secrets, "op3_secret_scans", SECRETS, {"live"})])
+@pytest.mark.parametrize("brute, op, texts, added", [(brute_pii, "op2_pii", PIII, {"term", "removed_term", "name_term", "acronym_term"}), (brute_secrets, "op3_secret_scans", SECRETS, {"live"})])
 def test_base_spans_against_brute_force(spark, tmp_path, brute, op, texts, added):
     rows = [(i, t, "en", f"s{i % 5}" if i % 7 else None, "x", "y") for i, t in enumerate(texts)] + [(None, texts[-1], None, None, None, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, base string, __key string")
@@ -94,8 +94,8 @@ def test_disclosing_terms(spark, monkeypatch, limit):
     want = {w for w, x in ratio.items() if x >= 0.6}
     assert {x["value"] for i in range(40, 48) for x in got[i].terms} == want == {"please", "write", "wolfgang", "about"}
     r = got[40]
-    assert [(x.kind, texts[40][x.start : x.stop]) for x in r.terms] == [(5, "please"), (5, "write"), (4, "Wolfgang"), (4, "about")]
-    assert r.sanitised == "  to <TERM> at <EMAIL> <TERM> the aak"
+    assert [(x.kind, texts[40][x.start : x.stop]) for x in r.terms] == [(5, "please"), (5, "write"), (6, "Wolfgang"), (4, "about")]
+    assert r.sanitised == "  to <NAME> at <EMAIL> <TERM> the aak"
     assert got[48].sanitised == "Wolfgang is about" and got[50].sanitised is None and got[51].sanitised == ""
 
 
@@ -129,6 +129,37 @@ def test_ownership(spark, monkeypatch, limit):
     assert got[20].redacted == "see <SECRET> there" and got[22].redacted is None and got[0].redacted == "x <SECRET>"
 
 
+def test_examples_by_repositories(spark):
+    """What ten repositories of one owner hold is copied; what nine hold looks live."""
+    rows = [(i, "s1", "token=EXAMPLEKEY123") for i in range(10)] + [(i, "s1", "token=EXAMPLEKEY456") for i in range(20, 29)] + [(28, "s1", "token=EXAMPLEKEY456")]
+    got = {r.doc_id: (len(r.live), r.n_example) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert {got[i] for i in range(10)} == {(0, 1)} and {got[i] for i in range(20, 29)} == {(1, 0)}
+
+
+def test_against_sql(spark, tmp_path):
+    """Spans of disclosing terms and live credentials against DuckDB, on a small corpus."""
+    duckdb = pytest.importorskip("duckdb")
+    names, words = ["Anna Berg", "ÖMER Ünal", "Zoë"], "der die wer Wald see Fluß MARC and ou naïve".split()
+    rows = []
+    for i in range(150):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            k = rng.randrange(12)
+            text.insert(rng.randrange(len(text) + 1), f"{names[k % 3]} u{k}@ex{k}.org" if k % 2 else f"+49 30 1234567{k}abc {names[k % 3]}")
+        if rng.random() < 0.3:
+            text.insert(0, rng.choice(['token="aB3dE5gH7jK9mN1pQ3sT5vW7"', "aB3dE5gH7jK9mN1pQ3sT5vW7", f"secret: {noise('abc123', 9)}", "0123456789abcdef" * 3]))
+        rows.append((i if i % 13 else None, " ".join(text) if i % 17 else None, f"s{i % 4}" if i % 5 else None))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for op in ("op2_pii", "op3_secret_scans"):
+        want = base.execute(queries.ORACLE_SQL[op])
+        columns = [d[0] for d in want.description]
+        got = queries.QUERIES[op](spark, str(tmp_path)).select(*columns).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+        assert any("term:" in r.spans or "live:" in r.spans for r in got)
+
+
 def test_no_python_in_the_plans(spark, tmp_path):
     spark.createDataFrame([(1, "a@b.cc", "s"), (2, "b token=12345678", "t")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     for op in ("op2_pii", "op3_secret_scans", "op9_mix_sources"):
