@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 import pytest
 
 from stackwise.llm import language as L
@@ -50,21 +52,61 @@ def test_no_labels_and_no_rows(spark):
     assert L.identify(docs.limit(0), None).collect() == []
 
 
-def test_presence_matches_a_plain_kernel():
+def plain_grams(t):
+    t = re.sub(r"[\W\d_]+", " ", t.lower())
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+
+def plain_predictions(sample, labels, marks, texts):
+    """Nyström features and ridge regression straight from their definitions, on sets of n-grams."""
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5 if a and b else 0.0
+    own, new = [plain_grams(t) for t in sample], [plain_grams(t) for t in texts]
+    k_mm = np.array([[kernel(own[i], own[j]) for j in marks] for i in marks])
+    values, vectors = np.linalg.eigh(k_mm)
+    good = values > 1e-6 * values[-1]
+    root = vectors[:, good] / np.sqrt(values[good])
+    features = lambda rows: np.hstack([np.array([[kernel(r, own[j]) for j in marks] for r in rows]) @ root, np.ones((len(rows), 1))])
+    x, names = features(own), sorted(set(labels))
+    y = np.array([[1.0 if label == n else -1.0 for n in names] for label in labels])
+    ridge = L.RIDGE * len(sample) * np.eye(x.shape[1])
+    ridge[-1, -1] = 1e-9
+    found = features(new) @ np.linalg.solve(x.T @ x + ridge, x.T @ y)
+    return names, found
+
+
+def test_predictions_against_a_plain_nystroem_kernel(monkeypatch):
+    monkeypatch.setattr(L, "LANDMARKS", 24)
+    monkeypatch.setattr(L, "CELLS", 5000)  # many small matrices
     rng = random.Random(3)
-    sample = [text(rng, x, 12) for x in SEEDS for _ in range(5)]
-
-    def grams(t):
-        t = t.lower()
-        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-
-    model = L.fit(sample, [x for x in SEEDS for _ in range(5)])
-    points, offsets, _ = L._code_points(sample)
-    x = L._unit(L._presence(points, offsets, model.column, model.landmarks.shape[0]))
-    for i in range(len(sample)):
-        for j in range(i):
-            a, b = grams(sample[i]), grams(sample[j])
-            assert abs(x[i] @ x[j] - len(a & b) / (len(a) * len(b)) ** 0.5) < 0.02
+    labels = [x for x in SEEDS for _ in range(30)]
+    sample = [text(rng, x, rng.choice([5, 30])) for x in labels]
+    model = L.fit(sample, labels)
+    order = [i for k in range(30) for i in (k, 30 + k, 60 + k)]
+    texts = sample[::7] + [text(rng, x, n) for x in SEEDS for n in (1, 4, 60)] + [text(rng, "aa", 9) + " " + text(rng, "cc", 9), "Ünknown Wörds 12 日本語", "x", text(rng, "bb", 20_000)]
+    names, values = plain_predictions(sample, labels, sorted(order[:24]), texts)
+    found, scores = L.predict(model, texts)
+    assert found == [names[k] for k in values.argmax(axis=1)]
+    assert np.abs(scores - np.clip((values.max(axis=1) + 1) / 2, 0, 1)).max() < 1e-4
+
+
+def test_tied_labels_and_tables():
+    model = L.fit(["same words here"] * 4, ["b", "a", "b", "a"])
+    assert L.predict(model, ["same words here", "words"])[0] == ["a", "a"]
+    codes = np.unique(np.random.default_rng(2).integers(1, 1 << 40, 5000).astype(np.uint64))
+    table = L.Grams(codes[::2])
+    found = table.find(codes)
+    assert (found[::2] == np.arange(len(codes[::2]))).all() and (found[1::2] == table.n).all()
+
+
+def test_labels_with_long_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_CHARS", 500)
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda texts, labels: seen.extend(zip(labels, texts, strict=True)))
+    rng = random.Random(6)
+    rows = [(i, text(rng, "aa", 400), "aa") for i in range(20)] + [(i, text(rng, "bb", 20), "bb") for i in range(20, 60)] + [(99, text(rng, "bb", 400), "bb")]
+    L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {label for label, _ in seen} == {"aa", "bb"} and all(len(t) <= 500 for _, t in seen)
+    assert all(len(t) == 500 and any(t in r[1] for r in rows) for label, t in seen if label == "aa")
 
 
 def test_unseen_languages_are_not_covered():
