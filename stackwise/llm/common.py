@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,5 +111,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def sheltered(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with all columns but those ``needed`` under names that no operator uses, and a
+    function that gives a result's columns their names and order back (and appends others)."""
+    own = {c: c if c in needed else f"c{i}" for i, c in enumerate(docs.columns)}
+
+    def back(found: DataFrame, *added: str) -> DataFrame:
+        return found.select(*[F.col(quoted(i)).alias(c) for c, i in own.items()], *added)
+
+    return docs.toDF(*own.values()), back
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"

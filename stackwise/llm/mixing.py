@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, quoted, without
+from .common import WORD, materialise, quoted, sheltered, without
 from .spans import broadcast_if_small
 
 HASH_BITS, STEP_BITS = 60, 10
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     are a source that comes last, null ids have one position.  An empty table gives no rows; input
     columns named like a result are replaced.  Reruns agree.
     """
-    docs = without(docs, "size", "source_size", "target", "taken", "key", "at", "full", "need", "low", "tied")
+    docs, back = sheltered(without(docs, "size", "source_size", "target", "taken"), doc_id, text, source)
     added = {"size": words(F.col(quoted(text)).cast("string")), "at": position(F.col(quoted(doc_id))), "key": _source_key(F.col(quoted(source)))}
     rows = docs.withColumns(added)
     narrow = materialise(rows.select("key", F.col(quoted(source)).cast("string").alias("source"), "size", "at"))
@@ -94,5 +94,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     rows = rows.join(broadcast_if_small(bounds, "key"), "key")
     part = F.floor(F.col("size") * F.col("need") / F.col("tied"))
     once = F.when(F.col("at") < F.col("low"), F.col("size")).when((F.col("at") == F.col("low")) & (F.col("tied") > 0), part).otherwise(F.lit(0))
-    taken = (F.col("full") * F.col("size") + once).cast("long").alias("taken")
-    return rows.select(*[quoted(c) for c in docs.columns], "size", "source_size", "target", taken)
+    taken = (F.col("full") * F.col("size") + once).cast("long")
+    return back(rows.withColumn("taken", taken), "size", "source_size", "target", "taken")

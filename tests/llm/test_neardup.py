@@ -60,24 +60,41 @@ def test_fingerprints_and_components(spark):
     want = sorted(zip([r[0] for r in rows], [f"{p:016x}" for p in prints], brute_components([r[0] for r in rows], prints), strict=True), key=str)
     assert sorted([(r.doc_id, r.fingerprint, r.component_id) for r in got], key=str) == want
     assert len({w[2] for w in want}) < len(want) - 20
-    assert got[0].asDict().keys() >= {"extra col", "n_links"}
+    assert got[0].asDict().keys() >= {"extra col", "n_links"} and got[0].n_links is not None
 
 
 def test_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-@pytest.mark.parametrize("spread", [64, 14])
-def test_search_finds_every_close_pair_in_large_cells(spread):
+@pytest.mark.parametrize("spread, cell", [(64, 512), (14, 512), (14, 40)])
+def test_search_finds_every_close_pair_in_large_cells(monkeypatch, spread, cell):
+    monkeypatch.setattr(neardup, "CELL", cell)
     rng = np.random.default_rng(1)
     f = np.unique(rng.integers(0, 1 << min(spread, 63), 3000, dtype=np.uint64))
     close = f[:600] ^ (np.uint64(1) << rng.integers(0, 63, 600).astype(np.uint64))
     f = np.unique(np.concatenate([f, close]))
     want = {(int(min(f[i], x)), int(max(f[i], x))) for i in range(len(f)) for x in f[i + 1 :][np.bitwise_count(f[i + 1 :] ^ f[i]) <= 3]}
-    got = {(int(min(x, y)), int(max(x, y))) for a, b in neardup._split(f, np.uint64(0xFFFFFFFFFFFFFFFF)) for x, y in zip(a, b, strict=True)}
+    got = {(int(min(f[x], f[y])), int(max(f[x], f[y]))) for a, b in neardup._split(f, neardup._ALL) for x, y in zip(a, b, strict=True)}
     assert got == want
 
 
+def test_links_of_dealt_fingerprints(spark):
+    """Trees out of the cells have the components of all pairs; a dense ball leaves as a tree."""
+    rng = np.random.default_rng(7)
+    f = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    close = f[:150] ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64))
+    ball = f[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))
+    f = np.unique(np.concatenate([f, close, ball]))
+    rows = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fingerprint long").repartition(3)
+    edges = neardup.links(rows).collect()
+    assert all(r.b < r.a for r in edges) and len(edges) < 4 * len(f)
+    found = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    values = [int(x) for x in f.view(np.int64)]
+    want = brute_components(values, [int(x) for x in f])
+    assert [found.get(v, v) for v in values] == want
+
+
 def test_components_of_long_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(77, 76), (-5, 76)]
     got = {r.node: r.root for r in neardup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -85,6 +102,62 @@ def test_components_of_long_chains_and_stars(spark):
 
 
 def test_keep_one(spark):
-    rows = [(3, "a b c d e f"), (2, "a b c d e f"), (9, "other words stand here alone"), (None, None), (None, "")]
+    rows = [(3, "a b c d e f"), (2, "A  b c d e f"), (9, "other words stand here alone"), (None, None), (None, "")]
     got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1 for r in got)) == [-1, 2, 9]
+    assert neardup.keep_one(spark.createDataFrame([], "doc_id long, text string, `a.b` int, row string")).columns == ["doc_id", "text", "a.b", "row"]
+
+
+def shingles(text):
+    words = bytes(text or "", "utf8").lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_groups(rows, similarity=0.8):
+    """The smallest id of each row's component of pairs by Jaccard, over all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [rows[find(i)][0] for i in range(len(rows))]
+
+
+def edited(rng, text, n):
+    words = text.split()
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("cell, partners", [(2048, 4), (60, 1)])
+def test_keep_one_of_similar_texts(spark, monkeypatch, cell, partners):
+    """Against all pairs: nothing is dropped that has no group, and nearly all groups are found.
+    One group holds a third of the rows; small bounds force cells in pieces and several rounds."""
+    monkeypatch.setattr(neardup, "CELL", cell)
+    monkeypatch.setattr(neardup, "PARTNERS", partners)
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    texts = ["", None, "one", "one two", fresh(8000)]
+    texts += [fresh(rng.choice([30, 150, 400])) for _ in range(150)]
+    base = fresh(200)
+    texts += [edited(rng, base, rng.randint(0, 3)) for _ in range(150)]
+    for _ in range(120):
+        own = rng.choice(texts[5:155])
+        texts.append(edited(rng, own, rng.randint(1, max(1, len(own.split()) // 60))))
+    texts += [texts[5].upper(), texts[6].replace(" ", "\n"), edited(rng, texts[4], 100)]
+    rows = list(enumerate(texts))
+    want = near_groups(rows)
+    got = {r.doc_id for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    kept = set(want)
+    gone = set(range(len(rows))) - kept
+    assert kept <= got and len(gone) > 200
+    assert len(gone - got) >= 0.95 * len(gone)
