@@ -2,16 +2,18 @@
 
 Benchmark items are taken in blocks of a bounded number of tokens; each block's token seeds
 (Karp-Rabin hashes of ``min_tile`` tokens) go to the executors as one sorted array, and every
-document is scanned whole against it, without a shuffle.  A larger benchmark means more blocks,
-not a larger broadcast.  For each document and item that share seeds the tiling repeatedly marks
-the longest match of unmarked tokens; the share of the item's tokens in tiles is its coverage, so
-reordered passages count as fully as verbatim ones.
+document is scanned whole against it, without a shuffle.  A worker reads documents once for up to
+``HELD_BLOCKS`` blocks.  For each document and item that share seeds, which are verified token by
+token with other hashes, the tiling repeatedly marks the longest match of unmarked tokens; the share
+of the item's tokens in tiles is its coverage, so reordered passages count as fully as verbatim ones.
+Where a seed that many items have would make too many hits at once, the items are taken in halves.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from .common import quoted, without
 from .kernels import U64, Words, rolling, slices, window_starts
 
 MIN_TILE, THRESHOLD = 5, 0.8
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS, HELD_BLOCKS, MOST_HITS = 2_000_000, 4, 4_000_000
 _FILTER_BITS = 22
 _NOT_WORD = re.compile(r"[\W_]+")
 _FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -39,25 +41,43 @@ def _tokens(column: pa.Array) -> Words:
 
 
 class _Block:
-    """The seeds of some items, sorted by hash."""
+    """The seeds of some items, sorted by hash; ``tokens`` are second hashes of all their tokens."""
 
-    def __init__(self, items: list, texts: list, min_tile: int):
+    def __init__(self, items: list, sizes: np.ndarray, first: np.ndarray, tokens: np.ndarray, h: np.ndarray, item: np.ndarray, place: np.ndarray):
+        self.items, self.sizes, self.first, self.tokens = items, sizes, first, tokens
+        self.h, self.item, self.place = h, item, place
+        self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
+        self.filter[(h >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        self.parts: list[_Block] = []
+
+    @classmethod
+    def of(cls, items: list, texts: list, min_tile: int) -> _Block:
         words = _tokens(pa.array(texts, pa.string()))
         start, item = window_starts(words.first, min_tile)
         h = rolling(words.hashes(1), min_tile)[start]
         order = np.argsort(h, kind="stable")
-        self.items, self.sizes = items, words.counts
-        self.h, self.item, self.place = h[order], item[order].astype(np.int32), (start - words.first[item])[order].astype(np.int32)
-        self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.filter[(h >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into ``h``, index into the seeds) of all equal hashes."""
+        return cls(items, words.counts, words.first[:-1], words.hashes(2), h[order], item[order].astype(np.int32), (start - words.first[item])[order].astype(np.int32))
+
+    def halves(self) -> list[_Block]:
+        """The seeds of the first and of the second half of the items that have any."""
+        if not self.parts:
+            own = np.unique(self.item)
+            low = self.item < own[len(own) // 2]
+            self.parts = [_Block(self.items, self.sizes, self.first, self.tokens, self.h[x], self.item[x], self.place[x]) for x in (low, ~low)]
+        return self.parts
+
+    def hits(self, h: np.ndarray) -> Iterator[tuple[_Block, np.ndarray, np.ndarray]]:
+        """(block, index into ``h``, index into its seeds) of all equal hashes, all hits of an item
+        together."""
         maybe = np.flatnonzero(self.filter[(h >> U64(64 - _FILTER_BITS)).astype(np.int64)])
         low, high = np.searchsorted(self.h, h[maybe], "left"), np.searchsorted(self.h, h[maybe], "right")
         n = high - low
-        seed = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        return np.repeat(maybe, n), seed
+        if n.sum() > MOST_HITS and self.item.min() < self.item.max():
+            for part in self.halves():
+                yield from part.hits(h)
+        elif n.sum():
+            seed = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            yield self, np.repeat(maybe, n), seed
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, min_tile: int) -> Iterator[_Block]:
@@ -67,7 +87,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, min_tile: int) -> Ite
     n = -(-total // BLOCK_TOKENS)
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect()  # of bounded size
-        yield _Block([r.i for r in rows], [r.t for r in rows], min_tile)
+        yield _Block.of([r.i for r in rows], [r.t for r in rows], min_tile)
 
 
 def _tiles(place: np.ndarray, at: np.ndarray, min_tile: int, tokens: int) -> tuple[int, int]:
@@ -109,22 +129,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TIL
     docs = without(docs, "matches")
     kind = benchmark.schema[item_id].dataType.simpleString()
     found = docs.withColumn("matches", F.expr(f"CAST(array() AS array<struct<item:{kind},coverage:double,n_matched:int,n_tiles:int>>)"))
-    for block in _blocks(benchmark, item_id, text, min_tile):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        found = found.mapInArrow(_scan(shared, text, min_tile, threshold), found.schema)
+    held: list = []
+    for block in chain(_blocks(benchmark, item_id, text, min_tile), [None]):
+        if block is not None:
+            held.append(docs.sparkSession.sparkContext.broadcast(block))
+        if held and (block is None or len(held) == HELD_BLOCKS):
+            found = found.mapInArrow(_scan(held, text, min_tile, threshold), found.schema)
+            held = []
     return found
 
 
-def _scan(shared, text: str, min_tile: int, threshold: float):
+def _scan(shared: list, text: str, min_tile: int, threshold: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
         for part in slices(batches, column=text):
             words = _tokens(part.column(part.schema.get_field_index(text)).cast(pa.string()))
             start, doc = window_starts(words.first, min_tile)
             found: dict[int, list] = {}
             if len(start):
-                at, seed = block.hits(rolling(words.hashes(1), min_tile)[start])
-                _match(block, doc[at], (start - words.first[doc])[at], seed, min_tile, threshold, found)
+                h, second = rolling(words.hashes(1), min_tile)[start], words.hashes(2)
+                for block in shared:
+                    for own, at, seed in block.value.hits(h):
+                        same = np.ones(len(at), dtype=bool)
+                        there = own.first[own.item[seed]] + own.place[seed]
+                        for k in range(min_tile):
+                            same &= second[start[at] + k] == own.tokens[there + k]
+                        at, seed = at[same], seed[same]
+                        _match(own, doc[at], (start - words.first[doc])[at], seed, min_tile, threshold, found)
             last = part.schema.get_field_index("matches")
             old = part.column(last)
             if found:

@@ -350,7 +350,7 @@ def _similar(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float
     for turn in range(ROUNDS + 1):
         dealt = labelled.mapInArrow(_deal_blocks, "cell int, node long, root long, " + ", ".join(f"w{k} long" for k in range(COMPARED)))
         dealt = dealt.repartition(_fan(left, 4 * WORDS * 60), "cell")
-        found = materialise(dealt.mapInArrow(_candidates(radius, turn, turn == ROUNDS), "a long, b long"))
+        found = materialise(dealt.mapInArrow(_candidates(radius, turn, None if turn == ROUNDS else PARTNERS, CELL), "a long, b long"))
         fresh = _verified(found.filter("b IS NOT NULL").distinct(), texts, shingle, similarity)
         edges = materialise(fresh if edges is None else edges.union(fresh))
         tree = components(edges)
@@ -372,7 +372,7 @@ def _deal_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cell), *(held[n] for n in names[1:])], names=names)
 
 
-def _candidates(radius: int, turn: int, whole: bool):
+def _candidates(radius: int, turn: int, partners: int | None, most: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
         if not parts:
@@ -384,20 +384,20 @@ def _candidates(radius: int, turn: int, whole: bool):
         opens, size = _runs(cell)
         several = np.repeat(size > 1, size)
         number = np.repeat(np.arange(len(opens)), size)
-        for part in _cells(number[several], np.flatnonzero(several), f):
-            yield from _dealt(part, number, node, root, f, radius, whole)
+        for part in _cells(number[several], np.flatnonzero(several), f, most):
+            yield from _dealt(part, number, node, root, f, radius, partners)
 
     return work
 
 
-def _cells(number: np.ndarray, at: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(cell, index) of runs of cells of some size; members of a cell above ``CELL`` are parted
-    by each block of their first word."""
+def _cells(number: np.ndarray, at: np.ndarray, f: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(cell, index) of cells of ``most`` members or fewer together, and of each larger one parted by
+    every block of the words that are compared."""
     opens, size = _runs(number)
-    small = np.repeat(size <= CELL, size)
+    small = np.repeat(size <= most, size)
     if small.any():
         yield number[small], at[small]
-    for k in np.flatnonzero(size > CELL):
+    for k in np.flatnonzero(size > most):
         own = at[opens[k] : opens[k] + size[k]]
         for word in range(COMPARED):
             for block in range(4):
@@ -405,11 +405,11 @@ def _cells(number: np.ndarray, at: np.ndarray, f: np.ndarray) -> Iterator[tuple[
                 order = np.argsort(key, kind="stable")
                 # What shares two blocks and is still more than a cell goes in pieces.
                 starts, n = _runs(key[order])
-                piece = (np.arange(len(key)) - np.repeat(starts, n)) // CELL
+                piece = (np.arange(len(key)) - np.repeat(starts, n)) // most
                 yield key[order] << 32 | piece, own[order]
 
 
-def _dealt(part: tuple, number: np.ndarray, node: np.ndarray, root: np.ndarray, f: np.ndarray, radius: int, whole: bool) -> Iterator[pa.RecordBatch]:
+def _dealt(part: tuple, number: np.ndarray, node: np.ndarray, root: np.ndarray, f: np.ndarray, radius: int, partners: int | None) -> Iterator[pa.RecordBatch]:
     key, at = part
     found = [(at[i], at[j]) for i, j in _pairs(key, f[at], radius, 1)]
     if not found:
@@ -421,14 +421,14 @@ def _dealt(part: tuple, number: np.ndarray, node: np.ndarray, root: np.ndarray,
     if not len(a):
         return
     cut = np.zeros(0, dtype=np.int64)
-    if not whole:
+    if partners is not None:
         cells = number[a]
-        dense = np.bincount(cells, minlength=number[-1] + 1) > PARTNERS * np.bincount(number[at], minlength=number[-1] + 1)
+        dense = np.bincount(cells, minlength=number[-1] + 1) > partners * np.bincount(number[at], minlength=number[-1] + 1)
         order = np.lexsort((b, a))
         a, b, cells = a[order], b[order], cells[order]
         opens, size = _runs(a)
         rank = np.arange(len(a)) - np.repeat(opens, size)
-        keep = ~dense[cells] | (rank < PARTNERS)
+        keep = ~dense[cells] | (rank < partners)
         cut = np.unique(np.concatenate([a[~keep], b[~keep]]))
         a, b = a[keep], b[keep]
     x, y = node[a], node[b]

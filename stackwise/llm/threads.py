@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,15 +99,21 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     parents = linked.groupBy("c", "t").agg(F.count("*").alias("n_linked"), best.alias("b"))
     parents = materialise(parents.select("c", "t", "n_linked", (-F.col("b.o")).alias("parent")))
 
-    jumps = parents.select("c", "t", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"))
-    while True:  # root and depth so far; a row that reached a root finds no further jump
-        step = jumps.select("c", F.col("t").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        joined = jumps.join(step, ["c", "root"], "left")
-        jumps = materialise(joined.select("c", "t", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")))
-        if not jumps.filter("moved").limit(1).count():
+    # Rows that have reached their root leave; of a thread whose replies are a third of all rows, the
+    # others meet at ancestors that have a parent themselves.
+    jumps, done = parents.select("c", "t", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), []
+    steps = jumps.select("c", F.col("t").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+    while True:
+        joined = jumps.join(steps, ["c", "root"], "left")
+        joined = materialise(joined.select("c", "t", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")))
+        done.append(joined.filter("NOT moved").drop("moved"))
+        jumps = joined.filter("moved").drop("moved")
+        if not jumps.limit(1).count():
             break
-        jumps = jumps.drop("moved")
-    links = parents.join(jumps.drop("moved"), ["c", "t"])
+        # A row jumps by what its ancestor has jumped so far, be that ancestor done or not.
+        known = reduce(DataFrame.union, [*done, jumps])
+        steps = known.select("c", F.col("t").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+    links = parents.join(reduce(DataFrame.union, done), ["c", "t"])
     on = (F.col(quoted(conversation)) == F.col("c")) & (F.col(quoted(turn)) == F.col("t"))
     found = parsed.join(links, on, "left")
     named = [quoted(x) for x in messages.columns if x != text]

@@ -60,6 +60,30 @@ def test_against_brute_force(spark, monkeypatch):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {w[0] for w in want}
 
 
+def test_common_seeds_are_taken_in_parts(monkeypatch):
+    """A line that all items and texts have: hits come in parts of the items, none is lost."""
+    line = "the same line stands here"
+    texts = [f"{line} own{k} a{k} b{k} c{k} d{k}" for k in range(64)]
+    block = D._Block.of(list(range(64)), texts, 5)
+    words = D._tokens(D.pa.array([f"{line} {line}"] * 20))
+    h = D.rolling(words.hashes(1), 5)
+    pairs = lambda: sorted((own.items[own.item[s]], int(own.place[s]), int(a)) for own, at, seed in block.hits(h) for a, s in zip(at, seed, strict=True))
+    whole = pairs()
+    assert len(list(block.hits(h))) == 1 and len(whole) >= 64 * 40
+    monkeypatch.setattr(D, "MOST_HITS", 200)
+    assert len(list(block.hits(h))) >= 16 and pairs() == whole
+
+
+def test_long_texts_and_several_groups_of_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(20))) for i in range(12)]
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(30_000))
+    rows = [(1, text), (2, f"{text} {items[7][1]} {text}"), (2, f"{text} {items[7][1]} {text}"), (3, items[11][1])]
+    monkeypatch.setattr(D, "BLOCK_TOKENS", 30)  # a block for each item or so, more than a worker holds
+    got = D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_matched) for r in got) == [(2, 7, 20), (2, 7, 20), (3, 11, 20)]
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.leaks(docs, bench).count() == 0 and D.decontaminate(docs, bench).count() == 1
