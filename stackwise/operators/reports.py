@@ -1,5 +1,10 @@
 """Profiles of record collections.  Every function takes records in the nested shape and reads no
-more of them than it reports on."""
+more of them than it reports on.
+
+What is counted per record is counted in the record's own arrays, so nothing is shuffled by record:
+one exchange carries a row for each tag or code of a task.  The expressions below are shared with
+the SQL table functions of :mod:`stackwise.sources.sql_tables`.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,40 @@ from ..sources.readers import to_fields, to_subfields
 
 #: Weights of the completeness score.
 COMPLETENESS = {"has_title": 30, "has_author": 15, "has_subject": 15, "has_isbn": 10, "has_language": 10, "has_publication": 10, "has_physical": 10}
+FLAGS = {
+    "has_title": f"{E.place('fields', '245a')} IS NOT NULL",
+    "has_author": E.has_tag("fields", "100", "110", "111"),
+    "has_subject": "exists(fields, f -> f.tag LIKE '6%')",
+    "has_isbn": f"size({E.subfields('fields', E.q('020'), E.q('a'))}) > 0",
+    "has_language": f"{E.language_008('fields')} IS NOT NULL OR size({E.subfields('fields', E.q('041'), E.q('a'))}) > 0",
+    "has_publication": E.has_tag("fields", "260", "264"),
+    "has_physical": E.has_tag("fields", "300"),
+}
+SCORE = " + ".join(f"{w} * CAST({k} AS INT)" for k, w in COMPLETENESS.items())
+#: Fields that have a value or a subfield, and how many of either.
+FULL = "filter(fields, f -> f.subfields IS NULL OR size(f.subfields) > 0)"
+_ROWS = "IF(f.subfields IS NULL, 1, size(f.subfields))"
+SUBFIELD_ROWS = f"aggregate(fields, 0L, (n, f) -> n + {_ROWS})"
+#: A record's tags with their occurrences, and of its full fields also with the rows they make.
+TAG_COUNTS = "transform(array_distinct(transform(fields, f -> f.tag)), t -> struct(t AS tag, CAST(size(filter(fields, f -> f.tag <=> t)) AS BIGINT) AS n))"
+FIELD_COUNTS = f"transform(array_distinct(transform({FULL}, f -> f.tag)), t -> struct(t AS tag, CAST(size(filter({FULL}, f -> f.tag <=> t)) AS BIGINT) AS occurrences, aggregate(filter({FULL}, f -> f.tag <=> t), 0L, (n, f) -> n + {_ROWS}) AS subfields))"
+
+
+def tag_parts(tag: str) -> str:
+    """The subfields of a record's fields with ``tag`` (an SQL expression)."""
+    return f"flatten(transform(filter(fields, f -> f.tag = {tag} AND f.subfields IS NOT NULL), f -> f.subfields))"
+
+
+def code_counts(tag: str) -> str:
+    """A record's subfield codes of one tag with their occurrences."""
+    codes = f"transform({tag_parts(tag)}, s -> s.code)"
+    return f"transform(array_distinct({codes}), c -> struct(c AS code, CAST(size(filter({codes}, x -> x <=> c)) AS BIGINT) AS n))"
+
+
+def code_values(tag: str) -> str:
+    """A record's subfields of one tag, each with whether it is the record's first of its code."""
+    parts = tag_parts(tag)
+    return f"transform({parts}, (s, i) -> struct(s.code AS code, octet_length(s.value) AS len, NOT exists(slice({parts}, 1, i), x -> x.code <=> s.code) AS first))"
 
 
 def _share(part: str, whole: str, digits: int = 1):
@@ -20,10 +59,7 @@ def _share(part: str, whole: str, digits: int = 1):
 
 def report_tags(records: DataFrame) -> DataFrame:
     """Per tag: occurrences, records with it and their share in percent."""
-    # Two levels: tags of one record are counted before the exchange, so no distinct is shuffled.
-    tags = F.explode(F.expr("transform(fields, f -> f.tag)")).alias("tag")
-    per_tag = records.select("file", "record_no", tags).groupBy("file", "record_no", "tag").agg(F.count("*").alias("n"))
-    per_tag = per_tag.groupBy("tag").agg(F.sum("n").alias("count"), F.count("*").alias("records_with"))
+    per_tag = records.select(F.explode(F.expr(TAG_COUNTS)).alias("t")).groupBy("t.tag").agg(F.sum("t.n").alias("count"), F.count("*").alias("records_with"))
     total = records.agg(F.count("*").alias("total"))
     joined = per_tag.join(F.broadcast(total))  # one row
     return joined.select("tag", "count", "records_with", _share("records_with", "total").alias("pct_records")).orderBy("tag")
@@ -31,29 +67,14 @@ def report_tags(records: DataFrame) -> DataFrame:
 
 def report_subfields(records: DataFrame, tag: str) -> DataFrame:
     """Per code of one tag: occurrences and records with it."""
-    each = _of_tag(records, tag)
-    return each.groupBy("file", "record_no", "code").agg(F.count("*").alias("n")).groupBy("code").agg(F.sum("n").alias("count"), F.count("*").alias("records_with")).orderBy("code")
-
-
-def _of_tag(records: DataFrame, tag: str) -> DataFrame:
-    parts = f"flatten(transform(filter(fields, f -> f.tag = {E.q(tag)} AND f.subfields IS NOT NULL), f -> f.subfields))"
-    return records.select("file", "record_no", F.explode(F.expr(parts)).alias("s")).select("file", "record_no", "s.code", "s.value")
+    each = records.select(F.explode(F.expr(code_counts(E.q(tag)))).alias("c"))
+    return each.groupBy("c.code").agg(F.sum("c.n").alias("count"), F.count("*").alias("records_with")).orderBy("code")
 
 
 def report_completeness(records: DataFrame) -> DataFrame:
     """Seven flags and a score from 0 to 100 for each record."""
-    flags = {
-        "has_title": f"{E.place('fields', '245a')} IS NOT NULL",
-        "has_author": E.has_tag("fields", "100", "110", "111"),
-        "has_subject": "exists(fields, f -> f.tag LIKE '6%')",
-        "has_isbn": f"size({E.subfields('fields', E.q('020'), E.q('a'))}) > 0",
-        "has_language": f"{E.language_008('fields')} IS NOT NULL OR size({E.subfields('fields', E.q('041'), E.q('a'))}) > 0",
-        "has_publication": E.has_tag("fields", "260", "264"),
-        "has_physical": E.has_tag("fields", "300"),
-    }
-    found = records.select("file", "record_no", "control_number", *[F.expr(v).alias(k) for k, v in flags.items()])
-    score = " + ".join(f"{w} * CAST({k} AS INT)" for k, w in COMPLETENESS.items())
-    return found.withColumn("completeness", F.expr(score)).orderBy("file", "record_no")
+    found = records.select("file", "record_no", "control_number", *[F.expr(v).alias(k) for k, v in FLAGS.items()])
+    return found.withColumn("completeness", F.expr(SCORE)).orderBy("file", "record_no")
 
 
 def report_errors(records: DataFrame) -> DataFrame:
@@ -63,9 +84,7 @@ def report_errors(records: DataFrame) -> DataFrame:
 
 def summary(records: DataFrame) -> DataFrame:
     """One row of totals and distributions over all records that have a subfield or control field."""
-    sizes = "aggregate(fields, 0L, (n, f) -> n + IF(f.subfields IS NULL, 1, size(f.subfields)))"
-    full = "filter(fields, f -> f.subfields IS NULL OR size(f.subfields) > 0)"
-    each = records.select("file", "leader", F.expr(f"CAST(size({full}) AS BIGINT)").alias("fields"), F.expr(sizes).alias("subfields"), F.expr(f"size(array_distinct(transform({full}, f -> f.tag)))").alias("tags")).filter("fields > 0")
+    each = records.select("file", "leader", F.expr(f"CAST(size({FULL}) AS BIGINT)").alias("fields"), F.expr(SUBFIELD_ROWS).alias("subfields"), F.expr(f"size(array_distinct(transform({FULL}, f -> f.tag)))").alias("tags")).filter("fields > 0")
     spread = []
     for name in ("fields", "subfields"):
         spread += [F.min(name).alias(f"min_{name}"), F.max(name).alias(f"max_{name}"), F.round(F.avg(name), 2).alias(f"mean_{name}"), F.round(F.stddev_samp(name), 2).alias(f"stddev_{name}")]
@@ -75,10 +94,8 @@ def summary(records: DataFrame) -> DataFrame:
 
 def summary_fields(records: DataFrame) -> DataFrame:
     """Per tag: how often it occurs, overall and per record that has it."""
-    flat = "transform(filter(fields, f -> f.subfields IS NULL OR size(f.subfields) > 0), f -> struct(f.tag, IF(f.subfields IS NULL, 1, size(f.subfields)) AS n))"
-    each = records.select("file", "record_no", F.expr(flat).alias("tags")).filter("size(tags) > 0")
-    per = each.select("file", "record_no", F.explode("tags").alias("t")).groupBy("file", "record_no", "t.tag").agg(F.count("*").alias("occurrences"), F.sum("t.n").alias("subfields"))
-    found = per.groupBy("tag").agg(
+    each = records.select(F.expr(FIELD_COUNTS).alias("tags")).filter("size(tags) > 0")
+    found = each.select(F.explode("tags").alias("t")).select("t.*").groupBy("tag").agg(
         F.sum("occurrences").alias("total_occurrences"),
         F.count("*").alias("records_with"),
         F.min("occurrences").alias("min_per_record"),
@@ -93,9 +110,8 @@ def summary_fields(records: DataFrame) -> DataFrame:
 
 def summary_subfields(records: DataFrame, tag: str) -> DataFrame:
     """Per code of one tag: counts and lengths in bytes."""
-    size = F.octet_length("value")
-    each = _of_tag(records, tag).groupBy("code").agg(
-        F.count("*").alias("occurrences"), F.count_distinct(F.struct("file", "record_no")).alias("records_with"), F.min(size).alias("min_len"), F.max(size).alias("max_len"), F.round(F.avg(size), 1).alias("mean_len"), F.round(F.stddev_samp(size), 1).alias("stddev_len")
+    each = records.select(F.explode(F.expr(code_values(E.q(tag)))).alias("s")).select("s.*").groupBy("code").agg(
+        F.count("*").alias("occurrences"), F.sum(F.col("first").cast("long")).alias("records_with"), F.min("len").alias("min_len"), F.max("len").alias("max_len"), F.round(F.avg("len"), 1).alias("mean_len"), F.round(F.stddev_samp("len"), 1).alias("stddev_len")
     )
     return each.orderBy("code")
 

@@ -16,7 +16,7 @@ from ..functions import expr as E
 from ..functions import udfs
 from ..operators import matching, reports, tasks
 from ..types import FIELD_DDL, FIELDS_DDL
-from .projection import SQL, bib, spread
+from .projection import FIELDS_SQL, SQL, bib, lines_sql, spread, xml_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,9 +135,9 @@ def validate(spark, sf_dir):
     return columns(spark, sf_dir, format=E.format_of("leader"), violations=f"array_join({E.validate('leader', 'fields')}, '|')", folio=f"array_join({E.folio_check('leader', 'fields')}, '|')")
 
 
-@query("SELECT k AS record_no, '=LDR  ' || leader || chr(10) || '=001  ' || ctl || chr(10) || '=020  \\\\$a' || isbn AS text FROM b")
+@query(f"SELECT k AS record_no, '=LDR  ' || leader || chr(10) || array_to_string({lines_sql(FIELDS_SQL)}, chr(10)) AS text FROM b")
 def recordbreak(spark, sf_dir):
-    return columns(spark, sf_dir, text=E.recordbreak("leader", "filter(fields, f -> f.tag IN ('001', '020'))"))
+    return columns(spark, sf_dir, text=E.recordbreak("leader", "fields"))
 
 
 @query("SELECT k AS record_no, ctl AS id, isbn AS isbn, split_part(url, '/', 3) AS host, year AS year, level || kind AS reversed, '1 ' AS indicators, p_brand || ',' || CASE WHEN k % 4 = 0 THEN '|author' ELSE '' END AS name FROM b")
@@ -266,42 +266,20 @@ def task_dedupe_exact(spark, sf_dir):
     return tasks.dedupe_exact(bib(spark, sf_dir)).select("matchkey", "records", F.array_join("control_numbers", "|").alias("control_numbers"))
 
 
-@query(_KEYS + "SELECT x.k AS record_no_a, y.k AS record_no_b, round(jaro_winkler_similarity(x.nk, y.nk), 9) AS similarity, x.mk = y.mk AS same_matchkey FROM m x JOIN m y ON x.k < y.k AND left(x.tk, 9) = left(y.tk, 9) WHERE jaro_winkler_similarity(x.nk, y.nk) >= 0.93 OR x.mk = y.mk")
-def dedupe_candidates(spark, sf_dir):
-    found = matching.dedupe_candidates(bib(spark, sf_dir), 0.93, block="substring(tkey, 1, 9)")
-    return found.select("record_no_a", "record_no_b", F.round("similarity", 9).alias("similarity"), "same_matchkey")
-
-
-@query(_KEYS + ", s AS (SELECT x.k AS a, y.k AS b, jaro_winkler_similarity(x.tk, y.tk) AS sim, x.mk = y.mk AS same FROM m x JOIN m y ON left(x.tk, 6) = left(y.tk, 6)), w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM s) SELECT a AS record_no_a, b AS record_no_b, round(sim, 9) AS similarity, same AS same_matchkey FROM w WHERE rn <= 6 AND a <> b AND (sim >= 0.8 OR same)")
-def nearest_dupes(spark, sf_dir):
-    found = matching.nearest_dupes(bib(spark, sf_dir), 0.8, block="substring(tkey, 1, 6)")
-    return found.select("record_no_a", "record_no_b", F.round("similarity", 9).alias("similarity"), "same_matchkey")
-
-
-@query(_KEYS + ", s AS (SELECT x.k AS a, y.k AS b, jaro_winkler_similarity(x.tk, y.tk) AS sim FROM m x JOIN m y ON left(x.tk, 6) = left(y.tk, 6) WHERE x.k % 2 = 0 AND y.k % 2 = 1), w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM s) SELECT a AS record_no_q, b AS record_no_t, round(sim, 9) AS similarity FROM w WHERE rn <= 5 AND sim >= 0.8")
-def nearest_matches(spark, sf_dir):
-    records = bib(spark, sf_dir)
-    found = matching.nearest_matches(records.filter("record_no % 2 = 0"), records.filter("record_no % 2 = 1"), 0.8, block="substring(tkey, 1, 6)")
-    return found.select("record_no_q", "record_no_t", F.round("similarity", 9).alias("similarity"))
-
-
-# The three queries above are held to SQL that compares within blocks; these compare all records.
-
-
 @query(_KEYS + "SELECT x.k AS record_no_a, y.k AS record_no_b, round(jaro_winkler_similarity(x.nk, y.nk), 9) AS similarity, x.mk = y.mk AS same_matchkey FROM m x JOIN m y ON x.k < y.k WHERE jaro_winkler_similarity(x.nk, y.nk) >= 0.93 OR x.mk = y.mk")
-def dedupe_candidates_all(spark, sf_dir):
+def dedupe_candidates(spark, sf_dir):
     found = matching.dedupe_candidates(bib(spark, sf_dir), 0.93)
     return found.select("record_no_a", "record_no_b", F.round("similarity", 9).alias("similarity"), "same_matchkey")
 
 
 @query(_KEYS + ", s AS (SELECT x.k AS a, y.k AS b, jaro_winkler_similarity(x.tk, y.tk) AS sim, x.mk = y.mk AS same FROM m x, m y), w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM s WHERE sim IS NOT NULL) SELECT a AS record_no_a, b AS record_no_b, round(sim, 9) AS similarity, same AS same_matchkey FROM w WHERE rn <= 6 AND a <> b AND (sim >= 0.8 OR same)")
-def nearest_dupes_all(spark, sf_dir):
+def nearest_dupes(spark, sf_dir):
     found = matching.nearest_dupes(bib(spark, sf_dir), 0.8)
     return found.select("record_no_a", "record_no_b", F.round("similarity", 9).alias("similarity"), "same_matchkey")
 
 
 @query(_KEYS + ", s AS (SELECT x.k AS a, y.k AS b, jaro_winkler_similarity(x.tk, y.tk) AS sim FROM m x, m y WHERE x.k % 50 = 0), w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM s WHERE sim IS NOT NULL) SELECT a AS record_no_q, b AS record_no_t, round(sim, 9) AS similarity FROM w WHERE rn <= 5 AND sim >= 0.8")
-def nearest_matches_all(spark, sf_dir):
+def nearest_matches(spark, sf_dir):
     records = bib(spark, sf_dir)
     found = matching.nearest_matches(records.filter("record_no % 50 = 0"), records, 0.8)
     return found.select("record_no_q", "record_no_t", F.round("similarity", 9).alias("similarity"))
@@ -318,52 +296,64 @@ def authority_flips(spark, sf_dir):
 
 # ---- editing ---------------------------------------------------------------------------------
 
-_LINE_020 = "'=020  \\\\$a' || isbn"
-_NAME = "p_brand || ','"
-
 
-def edited(spark, sf_dir, tags: str, edit: Callable[[str], str]) -> DataFrame:
-    """record_no and the breaker lines of some fields after an edit."""
+def edited(spark, sf_dir, edit: Callable[[str], str]) -> DataFrame:
+    """record_no and the breaker lines of the whole record after an edit."""
     lines = lambda fields: f"concat(array_join(transform({fields}, f -> {E.fieldbreak('f')}), '\\n'), '\\n')"
-    return columns(spark, sf_dir, text=lines(edit(f"filter(fields, f -> f.tag IN ({tags}))")))
+    return columns(spark, sf_dir, text=lines(edit("fields")))
 
 
-@query(f"SELECT k AS record_no, '=001  ' || ctl || chr(10) || {_LINE_020} || '$qpbk.' || chr(10) AS text FROM b")
+def _after(change: str = "f", keep: str = "true", order: str = "") -> str:
+    """The SQL of such lines: fields changed one by one (``f``, its place ``i``), then some kept."""
+    changed = f"list_transform({FIELDS_SQL}, lambda f, i: {change})"
+    fields = f"list_filter({changed}, lambda f: {keep})"
+    return f"SELECT k AS record_no, array_to_string({lines_sql(fields)}, chr(10)) || chr(10) AS text FROM b"
+
+
+def _with(**parts: str) -> str:
+    return "{" + ", ".join(f"'{n}': {parts.get(n, 'f.' + n)}" for n in ("tag", "inds", "value", "subs")) + "}"
+
+
+@query(_after(_with(subs="CASE WHEN f.tag = '020' THEN list_append(f.subs, {'c': 'q', 'v': 'pbk.'}) ELSE f.subs END")))
 def edit_set_subfield(spark, sf_dir):
-    return edited(spark, sf_dir, "'001', '020'", lambda x: D.set_subfield(x, "02.", "q", "'pbk.'"))
+    return edited(spark, sf_dir, lambda x: D.set_subfield(x, "02.", "q", "'pbk.'"))
 
 
-@query("SELECT k AS record_no, '=001  ' || ctl || chr(10) AS text FROM b")
+@query(_after(keep="f.tag NOT IN ('020', '040', '050')"))
 def edit_remove_fields(spark, sf_dir):
-    return edited(spark, sf_dir, "'001', '020', '050'", lambda x: D.remove_fields(x, "0.0"))
+    return edited(spark, sf_dir, lambda x: D.remove_fields(x, "0.0"))
 
 
-@query("SELECT k AS record_no, '=001  ' || ctl || chr(10) || '=050  \\4$b.B' || p_size || ' ' || year || chr(10) AS text FROM b")
+@query(_after(_with(subs="CASE WHEN f.tag IN ('020', '040', '050') THEN list_filter(f.subs, lambda y: y.c <> 'a') ELSE f.subs END"), "f.subs IS NULL OR len(f.subs) > 0"))
 def edit_remove_subfield(spark, sf_dir):
-    return edited(spark, sf_dir, "'001', '020', '050'", lambda x: D.remove_subfield(x, "0.0", "a"))
+    return edited(spark, sf_dir, lambda x: D.remove_subfield(x, "0.0", "a"))
 
 
-@query("SELECT k AS record_no, '=001  B-' || substr(ctl, 2) || chr(10) || '=020  \\\\$a' || isbn || chr(10) AS text FROM b")
+@query(_after(_with(value="CASE WHEN f.tag = '001' THEN 'B-' || substr(f.value, 2) ELSE f.value END")))
 def edit_replace_values(spark, sf_dir):
-    return edited(spark, sf_dir, "'001', '020'", lambda x: D.replace_values(x, "0..", None, "^b(0)", "B-$1"))
+    return edited(spark, sf_dir, lambda x: D.replace_values(x, "0..", None, "^b(0)", "B-$1"))
 
 
-@query("SELECT k AS record_no, '=020  \\7$z' || isbn || chr(10) AS text FROM b")
+@query(_after(_with(inds="CASE WHEN f.tag = '020' THEN ' 7' ELSE f.inds END", subs="CASE WHEN f.tag = '020' THEN list_transform(f.subs, lambda y: {'c': 'z', 'v': y.v}) ELSE f.subs END")))
 def edit_indicators_and_codes(spark, sf_dir):
-    return edited(spark, sf_dir, "'020'", lambda x: D.rename_subfield(D.set_indicators(x, "020", None, "7"), "020", "a", "z"))
+    return edited(spark, sf_dir, lambda x: D.rename_subfield(D.set_indicators(x, "020", None, "7"), "020", "a", "z"))
+
+
+_NOTE = "{'tag': '500', 'inds': '  ', 'value': NULL, 'subs': [{'c': 'a', 'v': 'Note ' || k}]}"
+_MOVED = f"list_transform(list_append({FIELDS_SQL}, {_NOTE}), lambda f, i: {{'tag': CASE WHEN f.tag = '100' THEN '900' ELSE f.tag END, 'i': -i, 'inds': CASE WHEN f.tag = '100' THEN ' 1' ELSE f.inds END, 'value': f.value, 'subs': f.subs}})"
 
 
-@query("SELECT k AS record_no, '=020  \\\\$a' || isbn || chr(10) || '=500  \\\\$aNote ' || k || chr(10) || '=900  \\1$a' || p_brand || ',' || CASE WHEN k % 4 = 0 THEN '$eauthor' ELSE '' END || CASE WHEN k % 7 = 0 THEN '$0http://id.loc.gov/authorities/names/n' || k ELSE '' END || chr(10) AS text FROM b")
+@query(f"SELECT k AS record_no, array_to_string({lines_sql(f'list_sort({_MOVED})')}, chr(10)) || chr(10) AS text FROM b")
 def edit_add_move_sort(spark, sf_dir):
     note = f"CAST(named_struct('tag', '500', 'ind1', ' ', 'ind2', ' ', 'value', NULL, 'subfields', array(named_struct('code', 'a', 'value', concat('Note ', record_no)))) AS {FIELD_DDL})"
-    return edited(spark, sf_dir, "'020', '100'", lambda x: D.set_indicators(D.sort_fields(D.move_field(D.add_field(f"reverse({x})", note), "1..", "900")), "900", " ", "1"))
+    return edited(spark, sf_dir, lambda x: D.set_indicators(D.sort_fields(D.move_field(D.add_field(f"reverse({x})", note), "1..", "900")), "900", " ", "1"))
 
 
-@query("SELECT k AS record_no, '020 100 500 700' AS moved, '020 040 100 900' AS copied, '020 100 245' AS swapped, '020 040 100' AS sorted FROM b WHERE k % 17 <> 0")
+@query("SELECT k AS record_no, '020 100 500 700' AS moved, '020 040 100 900' AS copied, CASE WHEN t1 IS NULL THEN '020 245' ELSE '020 100 245' END AS swapped, '020 040 100' AS sorted FROM b")
 def edit_tags(spark, sf_dir):
     tags = lambda c: F.array_join(F.transform(c, lambda f: f["tag"]), " ")
     some = "filter(fields, f -> f.tag IN ('020', '040', '100'))"
-    made = bib(spark, sf_dir).filter(f"{at('245a')} IS NOT NULL").withColumns({
+    made = bib(spark, sf_dir).withColumns({
         "m": call("marc_sort_fields", call("marc_copy_field", call("marc_move_field", some, "'040'", "'500'"), "'100'", "'700'")),
         "c": call("marc_copy_field", some, "'040'", "'900'"),
         "w": call("marc_sort_fields", call("marc_swap_fields", "filter(fields, f -> f.tag IN ('020', '100', '245'))", "'100'", "'245'")),
@@ -372,41 +362,41 @@ def edit_tags(spark, sf_dir):
     return made.select("record_no", tags("m").alias("moved"), tags("c").alias("copied"), tags("w").alias("swapped"), tags("s").alias("sorted"))
 
 
-@query("SELECT k AS record_no, upper(t1) || ' :' AS up, upper(t1[1]) || substr(t1, 2) || ' :' AS title, CASE WHEN k % 9 = 0 THEN 0 ELSE 1 END AS left_245 FROM b WHERE k % 17 <> 0")
+@query("SELECT k AS record_no, upper(t1) || ' :' AS up, upper(t1[1]) || substr(t1, 2) || ' :' AS title, CASE WHEN k % 9 = 0 OR t1 IS NULL THEN 0 ELSE 1 END AS left_245 FROM b")
 def edit_case_and_where(spark, sf_dir):
-    made = bib(spark, sf_dir).filter(f"{at('245a')} IS NOT NULL").withColumns({"u": call("marc_change_case", "fields", "'245'", "'a'", "'upper'"), "t": call("marc_change_case", "fields", "'245'", "'*'", "'title'"), "r": call("marc_remove_fields_where", "fields", "'245'", "'c'", "'et al'")})
+    made = bib(spark, sf_dir).withColumns({"u": call("marc_change_case", "fields", "'245'", "'a'", "'upper'"), "t": call("marc_change_case", "fields", "'245'", "'*'", "'title'"), "r": call("marc_remove_fields_where", "fields", "'245'", "'c'", "'et al'")})
     return made.select("record_no", F.expr(E.place("u", "245a")).alias("up"), F.expr(E.place("t", "245a")).alias("title"), F.expr(f"size({E.fields_of('r', E.q('245'))})").alias("left_245"))
 
 
-@query("SELECT k AS record_no, '=020  \\\\$a' || isbn || chr(10) || '=500  \\\\$aBy ' || p_brand || ', ' || year || chr(10) AS text FROM b WHERE k % 2 = 0")
+@query("SELECT k AS record_no, '=020  \\\\$a' || isbn || chr(10) || '=500  \\\\$aBy ' || p_brand || ', ' || CASE WHEN k % 2 = 0 THEN year ELSE '' END || chr(10) AS text FROM b")
 def edit_build_field(spark, sf_dir):
     made = call("marc_build_field", "filter(fields, f -> f.tag IN ('020', '100', '260'))", "'=500  \\\\\\\\$aBy {1..$a} {260$c}'")
     kept = F.expr(f"filter(built, f -> f.tag IN ('020', '500'))")
-    found = bib(spark, sf_dir).filter("record_no % 2 = 0").withColumn("built", made)
+    found = bib(spark, sf_dir).withColumn("built", made)
     found = found.withColumn("built", call("marc_replace_values", "built", "'500'", "'a'", "' c([0-9]+)\\\\.'", "' $1'"))
     return found.select("record_no", F.element_at(F.split(call("marc_to_breaker", F.col("leader"), kept), "\n", 2), 2).alias("text"))
 
 
-@query("SELECT k AS record_no, 'http://example.org/n/' || k AS uri, 0 AS cleared FROM b WHERE k % 4 <> 0")
+@query("SELECT k AS record_no, CASE WHEN k % 4 <> 0 THEN 'http://example.org/n/' || k WHEN k % 7 = 0 THEN 'http://id.loc.gov/authorities/names/n' || k ELSE '' END AS uri, 0 AS cleared FROM b")
 def edit_linked_uri(spark, sf_dir):
-    made = bib(spark, sf_dir).filter("record_no % 4 != 0").withColumn("l", call("marc_set_linked_uri", "fields", "'100'", f"upper({at('100a')})", "concat('http://example.org/n/', record_no)", "'0'"))
+    made = bib(spark, sf_dir).withColumn("l", call("marc_set_linked_uri", "fields", "'100'", f"upper({at('100a')})", "concat('http://example.org/n/', record_no)", "'0'"))
     made = made.withColumn("c", call("marc_clear_linked_uris", "l", "'1..'", "'0'"))
     return made.select("record_no", F.expr(f"array_join({E.subfields('l', E.q('100'), E.q('0'))}, '|')").alias("uri"), F.expr(f"size({E.subfields('c', E.q('100'), E.q('0'))})").alias("cleared"))
 
 
-@query("SELECT k AS record_no, '020 040 245' AS kept, 'new' AS replaced, ctl || '|' || ctl || '-2' AS added FROM b WHERE k % 17 <> 0")
+@query("SELECT k AS record_no, '020 040 245' AS kept, 'new' AS replaced, ctl || '|' || ctl || '-2' AS added FROM b")
 def merge(spark, sf_dir):
     one = lambda tag, value: f"named_struct('tag', '{tag}', 'ind1', ' ', 'ind2', ' ', 'value', CAST(NULL AS string), 'subfields', array(named_struct('code', 'a', 'value', {value})))"
     base = f"CAST(array({one('020', 'control_number')}, {one('245', "'old'")}) AS {FIELDS_DDL})"
     incoming = f"CAST(array({one('245', "'new'")}, {one('040', "'x'")}, {one('020', "concat(control_number, '-2')")}) AS {FIELDS_DDL})"
-    made = bib(spark, sf_dir).filter(f"{at('245a')} IS NOT NULL").withColumns({n: call("marc_merge", base, incoming, p, r, a, "'keep'") for n, p, r, a in (("k", "''", "''", "''"), ("r", "'0..'", "'245'", "''"), ("a", "''", "''", "'02.'"))})
+    made = bib(spark, sf_dir).withColumns({n: call("marc_merge", base, incoming, p, r, a, "'keep'") for n, p, r, a in (("k", "''", "''", "''"), ("r", "'0..'", "'245'", "''"), ("a", "''", "''", "'02.'"))})
     return made.select("record_no", F.array_join(F.transform("k", lambda f: f["tag"]), " ").alias("kept"), F.expr(E.place("r", "245a")).alias("replaced"), F.expr(f"array_join({E.subfields('a', E.q('020'), E.q('a'))}, '|')").alias("added"))
 
 
 @query("SELECT k AS record_no, 'changed LDR|removed 020|added 090' AS changes FROM b")
 def diff(spark, sf_dir):
-    other = call("marc_move_field", "filter(fields, f -> f.tag = '020')", "'020'", "'090'")
-    made = columns(spark, sf_dir, d=call("marc_diff", "leader", "filter(fields, f -> f.tag = '020')", "concat(substring(leader, 1, 5), 'c', substring(leader, 7))", other))
+    other = call("marc_move_field", "fields", "'020'", "'090'")
+    made = columns(spark, sf_dir, d=call("marc_diff", "leader", "fields", "concat(substring(leader, 1, 5), 'c', substring(leader, 7))", other))
     return made.select("record_no", F.array_join(F.transform("d", lambda x: F.concat(x["kind"], F.lit(" "), x["tag"])), "|").alias("changes"))
 
 
@@ -484,10 +474,10 @@ def call_parse(raw: str) -> Column:
     return call("marc_parse_iso2709", raw)
 
 
-@query("SELECT k AS record_no, '020 245 260 856' AS tags, CASE WHEN isbn_ok THEN isbn END AS isbn, p_name AS title FROM b WHERE isbn_ok")
+@query("SELECT k AS record_no, CASE WHEN isbn_ok THEN '020 ' ELSE '' END || '245 260 856' AS tags, CASE WHEN isbn_ok THEN isbn END AS isbn, p_name AS title FROM b")
 def kbart_to_marc(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("record_no"), "p_name", "p_brand")
-    made = bib(spark, sf_dir).join(part, "record_no").filter("record_no % 5 != 0").select("record_no", call("marc_kbart_to_marc", "p_name", at("020a"), at("856u"), "p_brand").alias("r"))
+    made = bib(spark, sf_dir).join(part, "record_no").select("record_no", call("marc_kbart_to_marc", "p_name", at("020a"), at("856u"), "p_brand").alias("r"))
     return made.select("record_no", F.array_join(F.transform("r.fields", lambda f: f["tag"]), " ").alias("tags"), F.expr(E.place("r.fields", "020a")).alias("isbn"), F.expr(E.place("r.fields", "245a")).alias("title"))
 
 
@@ -522,6 +512,6 @@ def addresses(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("record_no"), F.expr(E.oai_url("'http://o'", set_="concat(p_type, ' *~')", from_="'2020'")).alias("oai"), F.expr(E.sru_url("'http://s'", "concat('ti=', p_name)")).alias("sru"), F.expr(E.viaf_search_url("p_brand")).alias("viaf"), F.expr(E.alma_put_url("'https://a'", "p_partkey", "p_brand", "true", "false")).alias("alma"))
 
 
-@query("SELECT k AS record_no, '<bib><record><leader>' || leader || '</leader><controlfield tag=\"001\">' || ctl || '</controlfield><datafield tag=\"020\" ind1=\" \" ind2=\" \"><subfield code=\"a\">' || isbn || '</subfield></datafield></record></bib>' AS body FROM b")
+@query(f"SELECT k AS record_no, '<bib><record><leader>' || leader || '</leader>' || {xml_sql(FIELDS_SQL)} || '</record></bib>' AS body FROM b")
 def alma_body(spark, sf_dir):
-    return columns(spark, sf_dir, body=call("marc_alma_bib_body", "leader", "filter(fields, f -> f.tag IN ('001', '020'))"))
+    return columns(spark, sf_dir, body=call("marc_alma_bib_body", "leader", "fields"))

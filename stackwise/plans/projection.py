@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..types import FIELDS_DDL
 
+#: A file of this size or less is read by one task.
+ONE_TASK = 128 << 20
 _COLUMNS = {
     "ctl": "concat('b', lpad(CAST(k AS string), 8, '0'))",
     "year": "CAST(1950 + p_size AS string)",
@@ -55,9 +57,11 @@ _FIELDS = [
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its files make fewer tasks than there are; else untouched."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` over all cores if it is read from fewer files than there are and none is large enough
+    to be read by several tasks; else untouched."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < files < cores and size <= files * ONE_TASK else df
 
 
 def bib(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,3 +90,43 @@ b AS (SELECT *, 'b' || lpad(k::VARCHAR, 8, '0') AS ctl, (1950 + p_size)::VARCHAR
   list_concat(CASE WHEN k % 17 <> 0 THEN ['245'] ELSE [] END, list_concat(CASE WHEN k % 6 = 0 THEN ['250'] ELSE [] END, list_concat([CASE WHEN k % 2 = 0 THEN '260' ELSE '264' END, '300', '650'],
   list_concat(CASE WHEN k % 3 = 0 THEN ['650'] ELSE [] END, list_concat(CASE WHEN k % 8 = 0 THEN ['700'] ELSE [] END, ['856']))))))) AS tags
  FROM c) """
+
+
+def _sql_field(tag: str, inds: str, value: str, *parts: tuple, when: str = "true") -> str:
+    subs = ", ".join(f"CASE WHEN {(*p, 'true')[2]} THEN {{'c': '{p[0]}', 'v': {p[1]}}} END" for p in parts)
+    own = f"list_filter([{subs}], lambda x: x IS NOT NULL)" if parts else "NULL"
+    return f"CASE WHEN {when} THEN {{'tag': '{tag}', 'inds': '{inds}', 'value': {value}::VARCHAR, 'subs': {own}::STRUCT(c VARCHAR, v VARCHAR)[]}} END"
+
+
+#: The records' fields for DuckDB: a list of (tag, inds, value, subs), from the values of ``SQL``.
+FIELDS_SQL = "list_filter([" + ", ".join([
+    _sql_field("001", "", "ctl"),
+    _sql_field("003", "", "'SWK'", when="k % 3 <> 0"),
+    _sql_field("008", "", "f008"),
+    _sql_field("020", "  ", "NULL", ("a", "isbn")),
+    _sql_field("040", "  ", "NULL", ("a", "'SWK'"), ("e", "'rda'", "k % 4 = 0")),
+    _sql_field("050", " 4", "NULL", ("a", "'QA' || (k % 900 + 1) || '.' || p_size"), ("b", "'.B' || p_size || ' ' || year")),
+    _sql_field("100", "1 ", "NULL", ("a", "p_brand || ','"), ("e", "'author'", "k % 4 = 0"), ("0", "'http://id.loc.gov/authorities/names/n' || k", "k % 7 = 0")),
+    _sql_field("245", "10", "NULL", ("a", "t1 || ' :'"), ("b", "t2 || ' /'"), ("c", "tc"), when="t1 IS NOT NULL"),
+    _sql_field("250", "  ", "NULL", ("a", "'2nd ed.'"), when="k % 6 = 0"),
+    _sql_field("260", "  ", "NULL", ("a", "pa"), ("b", "pb"), ("c", "'c' || year || '.'"), when="k % 2 = 0"),
+    _sql_field("264", " 1", "NULL", ("a", "pa"), ("b", "pb"), ("c", "'c' || year || '.'"), when="k % 2 <> 0"),
+    _sql_field("300", "  ", "NULL", ("a", "p_size || ' p. :'"), ("b", "'ill. ;'"), ("c", "'23 cm'")),
+    _sql_field("650", " 0", "NULL", ("a", "p_type || '.'"), ("x", "'Catalogues'")),
+    _sql_field("650", " 0", "NULL", ("a", "'Things, ' || p_type"), when="k % 3 = 0"),
+    _sql_field("700", "1 ", "NULL", ("a", "'Helper, ' || p_brand"), when="k % 8 = 0"),
+    _sql_field("856", "40", "NULL", ("u", "url"), ("y", "'Online'", "k % 3 = 1")),
+]) + "], lambda x: x IS NOT NULL)"
+
+
+def lines_sql(fields: str) -> str:
+    """The breaker lines of a list of such fields."""
+    subs = "array_to_string(list_transform(f.subs, lambda y: '$' || y.c || y.v), '')"
+    return f"list_transform({fields}, lambda f: '=' || f.tag || '  ' || CASE WHEN f.subs IS NULL THEN f.value ELSE replace(f.inds, ' ', chr(92)) || {subs} END)"
+
+
+def xml_sql(fields: str) -> str:
+    """The slim XML of a list of such fields."""
+    subs = "array_to_string(list_transform(f.subs, lambda y: '<subfield code=\"' || y.c || '\">' || y.v || '</subfield>'), '')"
+    data = f"'<datafield tag=\"' || f.tag || '\" ind1=\"' || f.inds[1] || '\" ind2=\"' || f.inds[2] || '\">' || {subs} || '</datafield>'"
+    return f"array_to_string(list_transform({fields}, lambda f: CASE WHEN f.subs IS NULL THEN '<controlfield tag=\"' || f.tag || '\">' || f.value || '</controlfield>' ELSE {data} END), '')"

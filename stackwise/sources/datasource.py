@@ -1,18 +1,20 @@
 """Record formats as Spark data sources: ``spark.read.format("marc")`` and ``df.write.format("marc")``.
 
-The sources read and write with Python's own file functions, one task a file, so the paths must be
-visible to all executors; :mod:`stackwise.sources.readers` reads from any store that Spark knows.
+The sources read and write with Arrow's file systems, one task a file: local paths, or addresses of
+any store that Arrow knows (``s3://``, ``gs://``, ``hdfs://``, ...) and all executors reach.
+:mod:`stackwise.sources.readers` and ``writers`` go through Spark's own and split large files.
 """
 
 from __future__ import annotations
 
-import glob
 import gzip
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyarrow import fs as stores
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -22,10 +24,41 @@ from ..types import FIELDS_DDL, NESTED_DDL
 from .readers import TEXT_FORMATS, _number, _wanted
 
 
+def _store(path: str) -> tuple[stores.FileSystem, str, str]:
+    """(file system, path in it, what precedes that path in addresses)."""
+    if "://" in path and not path.startswith("file:"):
+        plain = re.split(r"[*?\[]", path)[0].rsplit("/", 1)[0]  # patterns aren't part of addresses
+        store, inner = stores.FileSystem.from_uri(plain)
+        return store, inner + path[len(plain) :], plain.removesuffix(inner)
+    return stores.LocalFileSystem(), os.path.abspath(path.removeprefix("file://").removeprefix("file:")), ""
+
+
+def _matching(pattern: str) -> re.Pattern:
+    """A path pattern with ``*``, ``?`` and ``[...]`` within a folder, ``**`` across folders."""
+    parts = re.split(r"(\*\*|\*|\?|\[[^\]]*\])", pattern)
+    known = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return re.compile("".join(known.get(x) or (x.replace("[!", "[^") if x.startswith("[") else re.escape(x)) for x in parts))
+
+
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://").removeprefix("file:")
-    found = sorted(glob.glob(path))
-    return [f for p in found for f in (sorted(glob.glob(f"{p}/[!._]*")) if os.path.isdir(p) else [p])]
+    """The files of a path, folder or pattern; hidden ones of a folder are left out."""
+    store, inner, before = _store(path)
+    if re.search(r"[*?\[]", inner):
+        top, own = re.split(r"[*?\[]", inner)[0].rsplit("/", 1)[0] or "/", _matching(inner)
+        found = [f for f in store.get_file_info(stores.FileSelector(top, recursive=True, allow_not_found=True)) if own.fullmatch(f.path)]
+    else:
+        found = [f for f in [store.get_file_info(inner)] if f.type != stores.FileType.NotFound]
+    each = []
+    for f in found:
+        inside = store.get_file_info(stores.FileSelector(f.path)) if f.type == stores.FileType.Directory else [f]
+        each += [x.path for x in inside if x.type == stores.FileType.File and (x is f or x.base_name[0] not in "._")]
+    return [before + x for x in sorted(set(each))]
+
+
+def read_bytes(path: str) -> bytes:
+    store, inner, _ = _store(path)
+    with store.open_input_file(inner) as file:
+        return file.read()
 
 
 @dataclass
@@ -43,8 +76,7 @@ class _Reader(DataSourceReader):
         return [_File(p) for p in _files(self.path)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as file:
-            raw = file.read()
+        raw = read_bytes(partition.path)
         if partition.path.endswith(".gz"):
             raw = gzip.decompress(raw)
         for n, record in enumerate(self._records(raw, partition.path), 1):
@@ -73,17 +105,16 @@ class _Part(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
+    """Tasks write hidden parts; the commit shows them and only then drops what they replace."""
+
     def __init__(self, fmt: str, names: list[str], options: dict, overwrite: bool):
-        self.fmt, self.names, self.options = fmt, names, options
-        self.path = options["path"].removeprefix("file://").removeprefix("file:")
-        if overwrite:
-            for old in glob.glob(f"{self.path}/part-*"):
-                os.remove(old)
+        self.fmt, self.names, self.options, self.path, self.overwrite = fmt, names, options, options["path"], overwrite
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
-        part = f"{self.path}/_part-{uuid.uuid4().hex}"
-        with open(part, "wb") as out:
+        store, folder, _ = _store(self.path)
+        store.create_dir(folder, recursive=True)
+        part = f"{folder}/_part-{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as out:
             if self.fmt == "marcxml":
                 out.write(marcxml.HEADER.encode())
             for row in rows:
@@ -102,15 +133,20 @@ class _Writer(DataSourceWriter):
         return (text if text.endswith("\n") and self.fmt == "marcxml" else text + "\n").encode()
 
     def commit(self, messages: list) -> None:
+        store, folder, _ = _store(self.path)
+        old = [f.path for f in store.get_file_info(stores.FileSelector(folder, allow_not_found=True)) if f.base_name.startswith("part-")]
         for m in messages:
             if m is not None:
-                head, name = os.path.split(m.path)
-                os.replace(m.path, f"{head}/{name.removeprefix('_')}")
+                head, name = m.path.rsplit("/", 1)
+                store.move(m.path, f"{head}/{name.removeprefix('_')}")
+        for path in old if self.overwrite else []:
+            store.delete_file(path)
 
     def abort(self, messages: list) -> None:
+        store = _store(self.path)[0]
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and store.get_file_info(m.path).type != stores.FileType.NotFound:
+                store.delete_file(m.path)
 
 
 def _source(fmt: str, writable: bool) -> type[DataSource]:
