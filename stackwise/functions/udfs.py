@@ -51,7 +51,7 @@ def _validate_format(leader, fields):
 
     kind = FORMATS.get((leader or "")[6:7], "bibliographic")
     pack = rulepacks.PACKS.get(kind)
-    return R.validate_avram(fields, rulepacks.schema(pack)) if pack else structure(leader, fields)
+    return R.validate_avram(fields, pack) if pack else structure(leader, fields)
 
 
 def structure(leader, fields):
@@ -71,7 +71,7 @@ def structure(leader, fields):
 
 
 def _pack(name: str) -> Callable:
-    return lambda leader, fields: R.validate_avram(fields, rulepacks.schema(rulepacks.PACKS[name]))
+    return lambda leader, fields: R.validate_avram(fields, rulepacks.PACKS[name])
 
 
 def _first_json(text):

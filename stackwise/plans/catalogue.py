@@ -444,10 +444,10 @@ def task_vendor_report(spark, sf_dir):
     return tasks.vendor_report(bib(spark, sf_dir)).select("record_no", "format", F.array_join("violations", "|").alias("violations"), "rda_issues", "vendor_9xx_dropped")
 
 
-@query("SELECT ctl AS id, 'ORG' AS org, strftime(current_date, '%Y-%m-%d') AS day FROM b")
+@query("SELECT ctl AS id, 'ORG' AS org, true AS dated FROM b")
 def task_vendor_load(spark, sf_dir):
     made = tasks.vendor_load(bib(spark, sf_dir), "ORG")
-    return made.select(F.expr(E.control_field("fields", E.q("001"))).alias("id"), F.expr(at("949a")).alias("org"), F.expr(at("949d")).alias("day"))
+    return made.select(F.expr(E.control_field("fields", E.q("001"))).alias("id"), F.expr(at("949a")).alias("org"), F.expr(f"abs(datediff(current_date(), CAST({at('949d')} AS DATE))) <= 1").alias("dated"))
 
 
 @query("SELECT k AS record_no, CASE WHEN k % 2 <> 0 THEN '264' ELSE CASE WHEN true THEN '264 264' END END AS tags, CASE WHEN k % 2 = 0 THEN '©' || year ELSE 'c' || year || '.' END AS date FROM b")

