@@ -28,15 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import materialise, partitions, quoted, release, without
 from .kernels import U64, mix, text_buffers
-from .spans import broadcast_if_small
+from .spans import BROADCAST_CHARS, broadcast_if_small
 
 RADIUS = 3
 PIVOTS = 24
 CELL = 2048
 #: ``keep_one``: words of a fingerprint and of the part of it that cells compare; candidates that a
-#: member of a dense cell has in a round, and rounds before all that are left are verified.
+#: member of a dense cell has at first.
 WORDS, COMPARED = 12, 4
-PARTNERS, ROUNDS = 4, 3
+PARTNERS = 4
 _TASK_BYTES = 64 << 20
 _PIVOTS = mix(np.arange(1, PIVOTS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _ALL = U64(0xFFFFFFFFFFFFFFFF)
@@ -342,24 +342,28 @@ def _sketch(shingle: int):
 
 def _similar(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of the components of verified pairs.  Members of a cell with more candidates than
-    ``PARTNERS`` for each of them have that many verified in a round, in an order that changes; the
-    next round looks at those cells' members across components only.  What ``ROUNDS`` rounds leave
-    open is verified whole."""
+    ``PARTNERS`` for each of them have that many verified at first, in a random order; what is left
+    to compare across components then, in those cells alone, is verified whole."""
     radius = bits_apart(similarity, 64 * COMPARED)
-    edges, left, labelled = None, nodes, nodes.withColumn("root", F.col("node"))
-    for turn in range(ROUNDS + 1):
-        dealt = labelled.mapInArrow(_deal_blocks, "cell int, node long, root long, " + ", ".join(f"w{k} long" for k in range(COMPARED)))
-        dealt = dealt.repartition(_fan(left, 4 * WORDS * 60), "cell")
-        found = materialise(dealt.mapInArrow(_candidates(radius, turn, None if turn == ROUNDS else PARTNERS, CELL), "a long, b long"))
-        fresh = _verified(found.filter("b IS NOT NULL").distinct(), texts, shingle, similarity)
-        edges = materialise(fresh if edges is None else edges.union(fresh))
-        tree = components(edges)
-        again = materialise(found.filter("b IS NULL").select(F.col("a").alias("node")).distinct())
-        if not again.limit(1).count():
-            break
-        left = materialise(nodes.join(again, "node", "left_semi"))
-        labelled = left.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return tree
+    labelled = nodes.withColumn("root", F.col("node"))
+    found = _searched(labelled, nodes, radius, PARTNERS)
+    edges = _verified(found, texts, shingle, similarity)
+    tree = components(edges)
+    dense = materialise(found.filter("b IS NULL").select(F.col("a").alias("node")).distinct())
+    if not dense.limit(1).count():
+        return tree
+    some = nodes.join(dense, "node", "left_semi").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = _searched(some, dense, radius, None)
+    if not found.limit(1).count():
+        return tree
+    return components(edges.union(_verified(found, texts, shingle, similarity)))
+
+
+def _searched(labelled: DataFrame, counted: DataFrame, radius: int, partners: int | None) -> DataFrame:
+    """Candidates (a, b) of different roots; b is null for members of cells that were cut short."""
+    dealt = labelled.mapInArrow(_deal_blocks, "cell int, node long, root long, " + ", ".join(f"w{k} long" for k in range(COMPARED)))
+    dealt = dealt.repartition(_fan(counted, 4 * WORDS * 60), "cell")
+    return materialise(dealt.mapInArrow(_candidates(radius, partners, CELL), "a long, b long").distinct())
 
 
 def _deal_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,14 +376,14 @@ def _deal_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cell), *(held[n] for n in names[1:])], names=names)
 
 
-def _candidates(radius: int, turn: int, partners: int | None, most: int):
+def _candidates(radius: int, partners: int | None, most: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
         if not parts:
             return
         cell, node, root, *words = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.lexsort((mix(node.view(U64) + U64(turn)), cell))  # partners change from round to round
+        order = np.lexsort((mix(node.view(U64)), cell))  # partners are random
         cell, node, root, f = cell[order], node[order], root[order], np.stack([w[order].view(U64) for w in words], axis=1)
         opens, size = _runs(cell)
         several = np.repeat(size > 1, size)
@@ -437,14 +441,15 @@ def _dealt(part: tuple, number: np.ndarray, node: np.ndarray, root: np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[cut])), pa.nulls(len(np.unique(node[cut])), pa.int64())], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those pairs of nodes whose sets of shingles are ``similarity`` alike or more."""
-    pairs = materialise(pairs)
-    ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
-    held = texts.select("row", "text").join(broadcast_if_small(ends, "row"), "row", "left_semi")
+def _verified(found: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those candidates whose sets of shingles are ``similarity`` alike or more."""
+    pairs = found.filter("b IS NOT NULL")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    few = 2 * 48 * pairs.count() <= BROADCAST_CHARS
+    held = texts.select("row", "text").join(F.broadcast(ends) if few else ends, "row", "left_semi")
     held = materialise(held.mapInArrow(_shingle_sets(shingle), "row long, shingles binary"))
     both = pairs.join(held.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
+    return materialise(both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"))
 
 
 def _shingle_sets(shingle: int):
