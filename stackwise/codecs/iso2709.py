@@ -11,13 +11,15 @@ from .errors import RecordError
 FT, RT, US = b"\x1e", b"\x1d", b"\x1f"
 
 
-def text_of(raw: bytes, utf8: bool) -> str:
-    return unicodedata.normalize("NFC", raw.decode("utf-8", "replace")) if utf8 else marc8.decode(raw)
+def text_of(raw: bytes, utf8: bool, table: str = "") -> str:
+    return unicodedata.normalize("NFC", raw.decode("utf-8", "replace")) if utf8 else marc8.decode(raw, table)
 
 
 def parse(raw: bytes, encoding: str = "auto", tags: frozenset[str] | None = None) -> dict:
     """One record with or without its terminator.  The directory, not the leader, tells where the
-    fields begin; with ``tags`` only those fields are decoded."""
+    fields begin; with ``tags`` only those fields are decoded.  ``encoding`` may end in
+    ``;codetable=`` and the file of the East Asian code table for MARC-8."""
+    encoding, _, table = encoding.partition(";codetable=")
     if encoding not in ("auto", "utf8", "marc8"):
         raise ValueError(f"encoding must be auto, utf8 or marc8, not {encoding}")
     if len(raw) < 24:
@@ -42,21 +44,22 @@ def parse(raw: bytes, encoding: str = "auto", tags: frozenset[str] | None = None
             continue
         body = raw[base + start : base + start + size].rstrip(RT).removesuffix(FT)
         if tag < "010":
-            fields.append(control(tag, text_of(body, utf8)))
+            fields.append(control(tag, text_of(body, utf8, table)))
             continue
         if len(body) < 2:
             raise RecordError(f"data field {tag} shorter than indicators")
-        parts = [(chr(p[0]), text_of(p[1:], utf8)) for p in body[2:].split(US)[1:] if p]
+        parts = [(chr(p[0]), text_of(p[1:], utf8, table)) for p in body[2:].split(US)[1:] if p]
         fields.append(data(tag, chr(body[0]), chr(body[1]), *parts))
     return {"leader": leader, "fields": fields}
 
 
 def write(leader: str | None, fields: list[dict], encoding: str = "utf8", normalize: str = "nfc") -> bytes:
     """The record's bytes: lengths, base address and Leader/09 are set, other positions kept."""
+    encoding, _, table = encoding.partition(";codetable=")
     if encoding not in ("utf8", "marc8") or normalize not in ("nfc", "nfd"):
         raise ValueError("ENCODING must be utf8 or marc8, NORMALIZE nfc or nfd")
     head = leader if leader is not None and len(leader) == 24 and leader.isascii() else DEFAULT_LEADER
-    code = marc8.encode if encoding == "marc8" else lambda v: unicodedata.normalize(normalize.upper(), v).encode()
+    code = (lambda v: marc8.encode(v, table)) if encoding == "marc8" else lambda v: unicodedata.normalize(normalize.upper(), v).encode()
     directory, body = bytearray(), bytearray()
     for f in clean_fields(fields):
         if is_control(f):
