@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import quoted, without
-from .kernels import U64, Words, rolling, slices, window_starts
+from .kernels import U64, Words, lean, rolling, slices, window_starts
 
 MIN_TILE, THRESHOLD = 5, 0.8
 BLOCK_TOKENS, HELD_BLOCKS, MOST_HITS = 2_000_000, 4, 4_000_000
@@ -134,7 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TIL
         if block is not None:
             held.append(docs.sparkSession.sparkContext.broadcast(block))
         if held and (block is None or len(held) == HELD_BLOCKS):
-            found = found.mapInArrow(_scan(held, text, min_tile, threshold), found.schema)
+            found = found.mapInArrow(lean(_scan(held, text, min_tile, threshold)), found.schema)
             held = []
     return found
 

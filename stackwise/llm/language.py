@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import quoted, without
-from .kernels import U64, slices
+from .kernels import U64, lean, slices
 
 #: Bounds of the training sample: rows for each label, rows in all, and characters of a row (of
 #: labels with longer texts only, a piece of that length is learned from, its place chosen by hash).
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", covered:
             found = [pa.array(labels, pa.string()), *map(pa.array, numbers)]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found[: len(results)]], names=[*part.schema.names[:-1], *results])
 
-    return rows.mapInArrow(work, f"{fields}, lang_pred string, score double{', coverage double' if covered else ''}")
+    return rows.mapInArrow(lean(work), f"{fields}, lang_pred string, score double{', coverage double' if covered else ''}")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, partitions, quoted, release, without
-from .kernels import U64, mix, text_buffers
+from .kernels import U64, lean, mix, text_buffers
 from .spans import BROADCAST_CHARS, broadcast_if_small
 
 RADIUS = 3
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataF
             keep = [i for i in range(batch.num_columns) if i != own]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(prints.view(np.int64))], names=[*(batch.schema.names[i] for i in keep), "fingerprint"])
 
-    return docs.mapInArrow(work, f"{fields}, fingerprint long")
+    return docs.mapInArrow(lean(work), f"{fields}, fingerprint long")
 
 
 def _simhash(column: pa.Array, shingle: int, words: int = 1) -> np.ndarray:
@@ -119,8 +119,8 @@ def _fan(df: DataFrame, size: int) -> int:
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): trees whose components are those of all pairs of different values of the long column
     ``fingerprint`` at ``RADIUS`` or fewer differing bits; b < a."""
-    dealt = prints.select("fingerprint").mapInArrow(_deal, "cell long, fingerprint long").repartition(_fan(prints, 64), "cell")
-    return dealt.mapInArrow(_search, "a long, b long")
+    dealt = prints.select("fingerprint").mapInArrow(lean(_deal), "cell long, fingerprint long").repartition(_fan(prints, 64), "cell")
+    return dealt.mapInArrow(lean(_search), "a long, b long")
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +317,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id:
     rows = materialise(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()))
     sketch = ", ".join(f"w{k} long" for k in range(WORDS))
     words = rows.select("row", F.col(own[doc_id]).alias("id"), F.col(own[text]).cast("string").alias("text"))
-    sketched = materialise(words.mapInArrow(_sketch(shingle), f"row long, id {rows.schema[own[doc_id]].dataType.simpleString()}, same binary, {sketch}"))
+    sketched = materialise(words.mapInArrow(lean(_sketch(shingle)), f"row long, id {rows.schema[own[doc_id]].dataType.simpleString()}, same binary, {sketch}"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     classes = materialise(sketched.groupBy("same").agg(first, *[F.first(f"w{k}").alias(f"w{k}") for k in range(WORDS)]))
     nodes = classes.select(F.col("first.row").alias("node"), *[f"w{k}" for k in range(WORDS)])
@@ -361,9 +361,9 @@ def _similar(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
 def _searched(labelled: DataFrame, counted: DataFrame, radius: int, partners: int | None) -> DataFrame:
     """Candidates (a, b) of different roots; b is null for members of cells that were cut short."""
-    dealt = labelled.mapInArrow(_deal_blocks, "cell int, node long, root long, " + ", ".join(f"w{k} long" for k in range(COMPARED)))
+    dealt = labelled.mapInArrow(lean(_deal_blocks), "cell int, node long, root long, " + ", ".join(f"w{k} long" for k in range(COMPARED)))
     dealt = dealt.repartition(_fan(counted, 4 * WORDS * 60), "cell")
-    return materialise(dealt.mapInArrow(_candidates(radius, partners, CELL), "a long, b long").distinct())
+    return materialise(dealt.mapInArrow(lean(_candidates(radius, partners, CELL)), "a long, b long").distinct())
 
 
 def _deal_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,9 +447,9 @@ def _verified(found: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     few = 2 * 48 * pairs.count() <= BROADCAST_CHARS
     held = texts.select("row", "text").join(F.broadcast(ends) if few else ends, "row", "left_semi")
-    held = materialise(held.mapInArrow(_shingle_sets(shingle), "row long, shingles binary"))
+    held = materialise(held.mapInArrow(lean(_shingle_sets(shingle)), "row long, shingles binary"))
     both = pairs.join(held.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
-    return materialise(both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"))
+    return materialise(both.select("a", "b", "x", "y").mapInArrow(lean(_alike(similarity)), "a long, b long"))
 
 
 def _shingle_sets(shingle: int):

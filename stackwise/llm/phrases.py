@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, quoted, without
-from .kernels import U64, mix, slices
+from .kernels import U64, lean, mix, slices
 
 LEVELS = (3, 4)  # phrases of some 30 and 90 characters
 BINS, _EMPTY = 64, 0xFFFF
@@ -122,7 +122,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
             found = _hex(fingerprint_texts(part.column(part.num_columns - 1).to_pylist()))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found)], names=[*part.schema.names[:-1], "fingerprint"])
 
-    return rows.mapInArrow(work, f"{fields}, fingerprint string")
+    return rows.mapInArrow(lean(work), f"{fields}, fingerprint string")
 
 
 def spliced(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: int = 3) -> DataFrame:
@@ -143,10 +143,10 @@ def spliced(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: i
     steps = min(8 * n, 8000)
     ends = rows.agg(F.max("i").alias("m"), F.percentile_approx("i", [k / steps for k in range(1, steps)] or [0.5], 100 * steps).alias("p")).first()
     tops = np.unique(np.array([-x for x in {ends.m, *(ends.p or [])} if x is not None], dtype=np.int64))
-    dealt = rows.mapInArrow(_deal(tops), "range int, again boolean, i long, text string").repartition(n, "range")
+    dealt = rows.mapInArrow(lean(_deal(tops)), "range int, again boolean, i long, text string").repartition(n, "range")
     order = ["range", "again", F.col("i").desc_nulls_last(), F.xxhash64("text"), "text"]
     fields = f"{quoted(doc_id)} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.sortWithinPartitions(*order).mapInArrow(_splice(part, doc_id), fields)
+    return dealt.sortWithinPartitions(*order).mapInArrow(lean(_splice(part, doc_id)), fields)
 
 
 def _deal(tops: np.ndarray):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucketed, materialise, partitions, quoted, without
-from .kernels import U64, Words, rolling, slices, text_buffers, window_starts
+from .kernels import U64, Words, lean, rolling, slices, text_buffers, window_starts
 
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)  # a perfect difference set of order 4
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
@@ -45,19 +45,19 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> Dat
     texts = table.select("__row", F.col("__text").alias("text"))
     fan = partitions(spark)
 
-    anchors = texts.mapInArrow(_anchors(window - PERIOD + 1, fan), "bucket int, known boolean, body binary")
-    twice = anchors.repartitionById(fan, "bucket").mapInArrow(_repeated_anchors, "__row long, at int")
+    anchors = texts.mapInArrow(lean(_anchors(window - PERIOD + 1, fan)), "bucket int, known boolean, body binary")
+    twice = anchors.repartitionById(fan, "bucket").mapInArrow(lean(_repeated_anchors), "__row long, at int")
     twice = materialise(twice.groupBy("__row").agg(F.collect_list("at").alias("anchors")))
 
     held = texts.join(twice.hint("shuffle_hash"), "__row")
-    windows = held.mapInArrow(_windows(window, fan), "bucket int, body binary, row long, start int, stop int")
-    runs = windows.repartitionById(fan, "bucket").mapInArrow(_repeated_windows(window), "__row long, start int, stop int")
+    windows = held.mapInArrow(lean(_windows(window, fan)), "bucket int, body binary, row long, start int, stop int")
+    runs = windows.repartitionById(fan, "bucket").mapInArrow(lean(_repeated_windows(window)), "__row long, start int, stop int")
     runs = materialise(runs.groupBy("__row").agg(F.collect_list("start").alias("__starts"), F.collect_list("stop").alias("__stops")))
 
     joined = table.join(runs.hint("shuffle_hash"), "__row", "left")
     kept = joined.select(*[quoted(c) for c in docs.columns], "__text", "__starts", "__stops")
     fields = ", ".join([f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema] + ["kept_text string", "n_words long", "n_removed long"])
-    return kept.mapInArrow(_cut, fields)
+    return kept.mapInArrow(lean(_cut), fields)
 
 
 def _anchors(width: int, fan: int):

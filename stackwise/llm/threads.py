@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, quoted, without
+from .kernels import lean
 
 _MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _ATTRIBUTION = re.compile(r"(?:on|am|le|el)\b.{0,300}(?:wrote|schrieb|écrit|escribió)\s*:\s*$|-{2,}\s*original message\s*-{2,}\s*$", re.IGNORECASE)
@@ -89,7 +90,7 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     messages = without(messages, "body", "message", "n_quotes", "n_linked", "parent_turn", "root_turn", "depth", "__own", "__quotes", "__text")
     rows = messages.withColumn("__text", F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))).drop(text)
     fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    parsed = materialise(rows.mapInArrow(_parse, f"{fields}, body string, __own array<string>, __quotes array<struct<level:int,hash:string>>"))
+    parsed = materialise(rows.mapInArrow(lean(_parse), f"{fields}, body string, __own array<string>, __quotes array<struct<level:int,hash:string>>"))
 
     key = [F.col(quoted(conversation)).alias("c"), F.col(quoted(turn)).alias("t")]
     originals = parsed.select(*key, F.explode("__own").alias("hash")).filter("c IS NOT NULL AND t IS NOT NULL").groupBy("c", "hash").agg(F.min("t").alias("original"))

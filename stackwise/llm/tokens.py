@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import quoted, without
+from .kernels import lean
 
 CACHE_WORDS = 300_000
 
@@ -116,7 +117,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
             added = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*batch.schema.names[:-1], "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(work, f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(lean(work), f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 _COUNTERS: dict[int, WordCounter] = {}
