@@ -11,7 +11,7 @@ from ..types import FIELD_DDL, FIELDS_DDL, RECORD_DDL
 from . import expr as E
 from . import udfs
 
-_TYPES = {"record": RECORD_DDL, "fields": FIELDS_DDL, "field": FIELD_DDL, "pos": "int", "start_pos": "int", "len": "int", "is_books": "boolean", "count_": "int", "max_records": "int", "limit_": "int", "validate": "boolean", "stale_version_check": "boolean", "lim": "int", "off": "int"}
+_TYPES = {"record": RECORD_DDL, "fields": FIELDS_DDL, "field": FIELD_DDL, "pos": "int", "start_pos": "int", "len": "int", "is_books": "boolean", "count_": "int", "max_records": "int", "limit_": "int", "validate": "boolean", "stale_version_check": "boolean", "lim": "int", "off": "int", "k": "double"}
 
 
 @dataclass(frozen=True)
@@ -90,6 +90,8 @@ EXPRESSIONS: dict[str, SqlFunction] = {
     "marc_alma_headers": SqlFunction("apikey", E.alma_headers, "ils"),
     "marc_alma_sql_quote": SqlFunction("s", E.sql_quote, "ils"),
     "marc_nearest_sql_quote": SqlFunction("s", E.sql_quote, "matching"),
+    "marc_alma_put_sql": SqlFunction("base, mms_id, apikey, bib_body, validate=false, stale_version_check=false", E.alma_put_statement, "ils"),
+    "marc_nearest_matches_sql": SqlFunction("query_path, target_path, k", E.nearest_statement, "matching"),
     "marc_xslt_shell_arg": SqlFunction("s", E.shell_arg, "crosswalks"),
     "marc_stamp": SqlFunction("fields, org_code", lambda fields, org: f"marc_add_local({fields}, '949', ' ', ' ', array('a', 'd'), array({org}, date_format(current_date(), 'yyyy-MM-dd')))", "building"),
     "task_vendor_clean": SqlFunction("fields, org_code", lambda fields, org: f"marc_stamp(marc_remove_subfield(marc_remove_fields({fields}, '9..'), '856', '9'), {org})", "tasks"),

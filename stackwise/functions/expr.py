@@ -431,6 +431,22 @@ def sql_quote(value: str) -> str:
     return f"concat('\\'', replace({value}, '\\'', '\\'\\''), '\\'')"
 
 
+def _literal(value: str) -> str:
+    return f"coalesce({sql_quote(value)}, 'NULL')"
+
+
+def alma_put_statement(base: str, mms_id: str, apikey: str, body: str, validate_: str = "false", stale: str = "false") -> str:
+    """The statement that writes a record back: it holds the key, so treat it as a credential."""
+    own = ", ', ', ".join([*map(_literal, (base, mms_id, apikey, body)), f"CAST({validate_} AS STRING)", f"CAST({stale} AS STRING)"])
+    return f"concat('SELECT status, content_type, body FROM marc_alma_update_bib(', {own}, ')')"
+
+
+def nearest_statement(queries: str, targets: str, k: str) -> str:
+    """The statement of the k nearest matches; k is checked here."""
+    whole = f"CASE WHEN {k} >= 1 AND {k} = floor({k}) THEN CAST(CAST({k} AS BIGINT) AS STRING) ELSE raise_error('marc_nearest_matches_sql: k must be a positive integer') END"
+    return f"concat('SELECT * FROM marc_nearest_matches_k(', {_literal(queries)}, ', ', {_literal(targets)}, ', ', {whole}, ')')"
+
+
 def shell_arg(value: str) -> str:
     return f"concat('\\'', replace({value}, '\\'', '\\'\\\\\\'\\''), '\\'')"
 

@@ -102,11 +102,21 @@ def nearest_dupes(records: DataFrame, min_similarity: float = 0.0, block: str |
     return _nearest(keyed, keyed, "a", "b", 6, True, min_similarity, block)
 
 
-def nearest_matches(queries: DataFrame, targets: DataFrame, min_similarity: float = 0.0, k: int = 5, block: str | None = None) -> DataFrame:
-    """For each query record its ``k`` nearest target records by title."""
+def nearest_matches(queries: DataFrame, targets: DataFrame, min_similarity: float = 0.0, k: int = 5, block: str | None = None, how: str = "inner") -> DataFrame:
+    """For each query record its ``k`` nearest target records by title.  ``how="left"`` keeps query
+    records without a match, their target columns null; ``how="anti"`` gives only those, in three
+    columns."""
     if int(k) != k or k < 1:
         raise ValueError("k must be a positive integer")
-    return _nearest(_keyed(queries), _keyed(targets), "q", "t", int(k), False, min_similarity, block)
+    if how not in ("inner", "left", "anti"):
+        raise ValueError("how must be inner, left or anti")
+    keyed = _keyed(queries)
+    found = _nearest(keyed, _keyed(targets), "q", "t", int(k), False, min_similarity, block)
+    if how == "inner":
+        return found
+    own = [f"{c}_q" for c in ("file", "record_no")]
+    rest = keyed.select(*[F.col(c).alias(f"{c}_q") for c in ("file", "record_no", "title")]).join(found.select(*own).distinct(), own, "left_anti")
+    return rest if how == "anti" else found.unionByName(rest, allowMissingColumns=True)
 
 
 def each_heading(records: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import edits as D
 from ..functions import expr as E
 from ..functions import udfs
+from ..types import FIELD_DDL
 from .matching import dedupe_candidates
 from .reports import with_rda_issues
 
@@ -41,35 +43,29 @@ def rda_worklist(records: DataFrame) -> DataFrame:
     return found.select("record_no", "control_number", F.expr(E.place("fields", "245a")).alias("title"), "issues").orderBy(F.desc(F.size("issues")), "record_no")
 
 
-def rda_upgrade(leader: Column, fields: Column) -> tuple[Column, Column]:
-    """(leader, fields) with 33X fields, spelt-out abbreviations, $e rda and no 245$h."""
-    fields = udfs.call("marc_remove_subfield", fields, F.lit("245"), F.lit("h"))
-    fields = udfs.call("marc_rda_expand", udfs.call("marc_generate_33x", leader, fields))
-    fields = udfs.call("marc_set_subfield", fields, F.lit("040"), F.lit("e"), F.lit("rda"))
-    return F.concat(F.substring(leader, 1, 18), F.lit("i"), F.substring(leader, 20, 99)), fields
+def rda_upgraded(records: DataFrame) -> DataFrame:
+    """``records`` with 33X fields, spelt-out abbreviations, $e rda, no 245$h and Leader/18 set.  Only
+    the 33X fields need Python; the other edits are expressions."""
+    made = records.withColumn("fields", udfs.call("marc_generate_33x", F.col("leader"), F.expr(D.remove_subfield("fields", "245", "h"))))
+    return made.withColumns({"fields": F.expr(D.set_subfield(D.rda_expand("fields"), "040", "e", "'rda'")), "leader": F.expr("concat(substring(leader, 1, 18), 'i', substring(leader, 20, 99))")})
 
 
 def rda_upgrade_file(records: DataFrame) -> DataFrame:
     """Upgraded where there are issues, else as they are."""
-    found = with_rda_issues(records)
-    leader, fields = rda_upgrade(F.col("leader"), F.col("fields"))
-    need = F.size("issues") > 0
-    return found.select(F.when(need, leader).otherwise(F.col("leader")).alias("leader"), F.when(need, fields).otherwise(F.col("fields")).alias("fields"))
-
-
-def stamp(fields: Column, org: str) -> Column:
-    """Adds a 949 with the organisation and today's date."""
-    today = F.date_format(F.current_date(), "yyyy-MM-dd")
-    return udfs.call("marc_add_local", fields, F.lit("949"), F.lit(" "), F.lit(" "), F.array(F.lit("a"), F.lit("d")), F.array(F.lit(org), today))
+    found = with_rda_issues(records).withColumn("old", F.struct("leader", "fields"))
+    made = rda_upgraded(found).withColumn("new", F.struct("leader", "fields"))
+    return made.select(F.when(F.size("issues") > 0, F.col("new")).otherwise(F.col("old")).alias("r")).select("r.leader", "r.fields")
 
 
-def vendor_clean(fields: Column, org: str) -> Column:
-    fields = udfs.call("marc_remove_fields", fields, F.lit("9.."))
-    return stamp(udfs.call("marc_remove_subfield", fields, F.lit("856"), F.lit("9")), org)
+def stamped(fields: str, org: str) -> str:
+    """The expression that adds a 949 with the organisation and today's date."""
+    parts = f"array(named_struct('code', 'a', 'value', {E.q(org)}), named_struct('code', 'd', 'value', date_format(current_date(), 'yyyy-MM-dd')))"
+    return D.add_field(fields, f"CAST(named_struct('tag', '949', 'ind1', ' ', 'ind2', ' ', 'value', CAST(NULL AS STRING), 'subfields', {parts}) AS {FIELD_DDL})")
 
 
 def vendor_load(records: DataFrame, org: str) -> DataFrame:
-    return records.select("leader", vendor_clean(F.col("fields"), org).alias("fields"))
+    """Without vendor 9XX fields and 856$9, stamped."""
+    return records.select("leader", F.expr(stamped(D.remove_subfield(D.remove_fields("fields", "9.."), "856", "9"), org)).alias("fields"))
 
 
 def vendor_report(records: DataFrame) -> DataFrame:

@@ -175,3 +175,10 @@ def holdings_zip(spark, sf_dir):
     val = data("863", (("8", "'1.1'"), ("a", "CAST(l_linenumber AS STRING)"), ("b", "CAST(CAST(l_quantity AS BIGINT) AS STRING)"), ("i", "'1999'")))
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("order_no"), F.col("l_linenumber").alias("line_no"), call("marc_86x_zip", cap, val).alias("z"))
     return lines.select("order_no", "line_no", F.array_join(F.transform("z", lambda x: F.concat_ws("=", x["code"], x["cap"], x["val"])), "|").alias("zipped"))
+
+
+@query("""SELECT p_partkey AS record_no, 'SELECT status, content_type, body FROM marc_alma_update_bib(''https://a'', ''' || p_partkey || ''', NULL, ''<bib>' || p_name || '''''s</bib>'', true, false)' AS put, 'SELECT * FROM marc_nearest_matches_k(''a.mrc'', ''' || p_name || '.mrc'', ' || (1 + p_size) || ')' AS nearest FROM part""")
+def statements(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    put = E.alma_put_statement("'https://a'", "CAST(p_partkey AS STRING)", "CAST(NULL AS STRING)", "concat('<bib>', p_name, '\\'s</bib>')", "true", "false")
+    return part.select(F.col("p_partkey").alias("record_no"), F.expr(put).alias("put"), F.expr(E.nearest_statement("'a.mrc'", "concat(p_name, '.mrc')", "CAST(1 + p_size AS DOUBLE)")).alias("nearest"))

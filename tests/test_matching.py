@@ -42,6 +42,15 @@ def test_nearest_of_all(keyed, monkeypatch):
     assert got == want
 
 
+def test_records_without_a_match(keyed, monkeypatch):
+    rows, frame = keyed
+    monkeypatch.setattr(matching, "_keyed", lambda records: records)
+    some, few = frame.filter("record_no < 40"), frame.filter("record_no >= 140")
+    inner, left, anti = ({(r.record_no_q, r.asDict().get("record_no_t")) for r in matching.nearest_matches(some, few, 0.95, how=h).collect()} for h in ("inner", "left", "anti"))
+    assert inner and anti and left == inner | {(q, None) for q, _ in anti}
+    assert {q for q, _ in left} == set(range(40)) and not {q for q, _ in inner} & {q for q, _ in anti}
+
+
 def test_no_block_in_the_registered_result(spark):
     """Records with one 245$a and different 245$b are candidates."""
     assert catalogue.QUERIES["dedupe_candidates"](spark, SF).filter("similarity = 1").count() == 2202
