@@ -57,12 +57,20 @@ def remove(spark: SparkSession, folders: list[str]) -> None:
 
 @contextmanager
 def scope() -> Iterator[list[str]]:
-    """The list of the scratch folders made inside, for the caller to ``remove``."""
+    """The list of the scratch folders made inside, for the caller to ``remove``; a scope around this
+    one lists them too."""
     _OPEN.append([])
     try:
         yield _OPEN[-1]
     finally:
-        _OPEN.pop()
+        made = _OPEN.pop()
+        for outer in _OPEN[-1:]:
+            outer.extend(made)
+
+
+def stored_bytes(spark: SparkSession, folder: str) -> int:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -17,16 +17,19 @@ hash, which equal windows have in common.  The texts move once, into a bucketed
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialise, partitions, quoted, without
+from .common import bucketed, materialise, partitions, quoted, scope, stored_bytes, without
 from .kernels import U64, Words, lean, rolling, slices, text_buffers, window_starts
 
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)  # a perfect difference set of order 4
+#: Hashes that one task is dealt, by estimate.
+TASK_BYTES = 96 << 20
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -41,9 +44,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> Dat
         raise ValueError(f"window must be at least {PERIOD + 4} words")
     spark = docs.sparkSession
     docs = without(docs, "kept_text", "n_words", "n_removed", "__row", "__text")
-    table = bucketed(docs.withColumns({"__row": F.monotonically_increasing_id(), "__text": F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))}), "__row")
+    with scope() as made:
+        table = bucketed(docs.withColumns({"__row": F.monotonically_increasing_id(), "__text": F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))}), "__row")
     texts = table.select("__row", F.col("__text").alias("text"))
-    fan = partitions(spark)
+    # A task holds the hashes dealt to it: some four bytes for each byte stored.
+    fan = max(partitions(spark), ceil(4 * stored_bytes(spark, made[0]) / TASK_BYTES))
 
     anchors = texts.mapInArrow(lean(_anchors(window - PERIOD + 1, fan)), "bucket int, known boolean, body binary")
     twice = anchors.repartitionById(fan, "bucket").mapInArrow(lean(_repeated_anchors), "__row long, at int")
