@@ -39,3 +39,12 @@ def test_query_equals_sql(spark, duck, name):
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_identifiers_of_seven_digits(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (p_partkey + 999998 AS p_partkey) FROM '{SF}/part.parquet' LIMIT 5) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    want = con.execute(catalogue.ORACLE_SQL["identifiers"]).fetchall()
+    got = catalogue.QUERIES["identifiers"](spark, str(tmp_path)).select("record_no", "isbn", "oclc", "lccn", "issn").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
