@@ -254,3 +254,40 @@ def test_sql_tables(spark, frame, tmp_path):
     assert ask(f"SELECT issue FROM task_rda_profile('{path}') LIMIT 1") == [("desc_aacr2",)]
     assert ask(f"SELECT heading FROM marc_reconcile_headings('{path}', 'viaf')") == [("Ünï",)]
     assert ask(f"SELECT violation FROM marc_report_errors('{path}')") == [("data field with no subfields",)]
+
+
+@pytest.mark.parametrize("fmt", ["marc", "marcxml", "mrk", "marcjson"])
+def test_pieces_of_one_file(tmp_path, fmt):
+    from stackwise.sources import pieces
+
+    fields = lambda n: [control("001", f"r{n}"), data("245", "1", "0", ("a", f"Ünï </record> <record> }} {{ {'long ' * (n % 9)}"))]
+    write = {"marc": iso2709.write, "marcxml": marcxml.write, "mrk": lambda *r: breaker.write(*r) + "\n", "marcjson": lambda *r: marcjson.write(*r) + "\n"}[fmt]
+    each = [write("00000nam a2200000 a 4500", fields(n)) for n in range(40)]
+    whole = b"".join(x if isinstance(x, bytes) else x.encode() for x in each)
+    texts = [whole, marcxml.HEADER.encode() + b"<!-- </record> <record> -->" + whole] if fmt == "marcxml" else [whole]
+    for k, text in enumerate(texts):
+        (tmp_path / f"{fmt}{k}").write_bytes(text)
+        want = [r for _, r in pieces.records(fmt, f"{tmp_path}/{fmt}{k}", 0, 0, 1, 0)]
+        assert len(want) == 40
+        for size in (50, 300, 2000):
+            found = list(pieces.pieces(fmt, f"{tmp_path}/{fmt}{k}", size))
+            counts = [pieces.count(fmt, *p) for p in found]
+            assert len(found) > 1 and any(c[1] for c in counts) == (k == 1)
+            if not k:
+                got = [list(pieces.records(fmt, *p, sum(c[0] for c in counts[:i]))) for i, p in enumerate(found)]
+                assert [len(g) for g in got] == [c[0] for c in counts]
+                assert [r for g in got for r in g] == list(enumerate(want, 1))
+
+
+def test_one_file_by_many_tasks(spark, tmp_path):
+    from stackwise.plans.projection import bib
+    from stackwise.sources.sql_tables import register_tables
+
+    catalog.register_all(spark)
+    register_tables(spark)
+    records = bib(spark, "/root/testdata/sf0.01", in_order=True)
+    for fmt, name in (("marc", "read_marc"), ("mrk", "marc_readnestedbreaker")):
+        writers.write_records(records, f"{tmp_path}/{fmt}", fmt, single_file=True)
+        found = spark.sql(f"SELECT * FROM {name}('{tmp_path}/{fmt}/part-*')")
+        assert found.rdd.getNumPartitions() > 1
+        assert found.filter("concat('b', lpad(CAST(record_no - 1 AS STRING), 8, '0')) = control_number").count() == records.count()
