@@ -37,6 +37,7 @@ CELL = 2048
 #: cell, and their bits; candidates that a member of a dense cell has at first, and in which blocks.
 WORDS, BLOCKS, BLOCK_BITS = 8, 24, 14
 PARTNERS, PARTNER_BLOCKS = 4, 6
+TILE = 1 << 20  #: pairs of a large cell that are compared at once
 _TASK_BYTES = 64 << 20
 _PIVOTS = mix(np.arange(1, PIVOTS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _ALL = U64(0xFFFFFFFFFFFFFFFF)
@@ -342,9 +343,9 @@ def _sketch(shingle: int):
 
 def _similar(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of the components of verified pairs.  Members of a cell with more candidates than
-    ``PARTNERS`` for each of them have that many verified at first, in a random order and for every
-    sixth block only; what is left to compare across components then, between those members, is
-    verified whole."""
+    ``PARTNERS`` for each of them have few verified at first: in each block the most central one, and for
+    every sixth block the nearest; what is left to compare across components then, between
+    those members, is verified whole."""
     radius = bits_apart(similarity, 64 * WORDS)
     labelled = nodes.withColumn("root", F.col("node"))
     found = _searched(labelled, nodes, radius, PARTNERS)
@@ -388,63 +389,126 @@ def _candidates(radius: int, partners: int | None, most: int):
             return
         cell, node, root, *words = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.lexsort((mix(node.view(U64)), cell))  # partners are random
+        order = np.lexsort((node, cell))
         cell, node, root, f = cell[order], node[order], root[order], np.stack([w[order].view(U64) for w in words], axis=1)
         opens, size = _runs(cell)
-        several = np.repeat(size > 1, size)
-        number = np.repeat(np.arange(len(opens)), size)
-        for part in _cells(number[several], np.flatnonzero(several), f, most):
-            yield from _dealt(part, number, cell, node, root, f, radius, partners)
+        for part in _together(opens, size, most):
+            block = cell[part] >> BLOCK_BITS
+            if len(part) > most and cell[part[0]] == cell[part[-1]]:  # one large cell
+                yield from _large(node[part], root[part], f[part], int(block[0]), radius, partners)
+            else:
+                yield from _small(cell[part], block, node[part], root[part], f[part], radius, partners)
 
     return work
 
 
-def _cells(number: np.ndarray, at: np.ndarray, f: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(cell, index) of cells of ``most`` members or fewer together, and of each larger one parted by
-    every block of the words that are compared."""
-    opens, size = _runs(number)
-    small = np.repeat(size <= most, size)
-    if small.any():
-        yield number[small], at[small]
-    for k in np.flatnonzero(size > most):
-        own = at[opens[k] : opens[k] + size[k]]
-        for word in range(WORDS):
-            for block in range(4):
-                key = _block(f[own, word], block).astype(np.int64)
-                order = np.argsort(key, kind="stable")
-                # What shares two blocks and is still more than a cell goes in pieces.
-                starts, n = _runs(key[order])
-                piece = (np.arange(len(key)) - np.repeat(starts, n)) // most
-                yield key[order] << 32 | piece, own[order]
-
-
-def _dealt(part: tuple, number: np.ndarray, cell: np.ndarray, node: np.ndarray, root: np.ndarray, f: np.ndarray, radius: int, partners: int | None) -> Iterator[pa.RecordBatch]:
-    key, at = part
-    found = [(at[i], at[j]) for i, j in _pairs(key, f[at], radius, 1)]
+def _together(opens: np.ndarray, size: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Indices of the members of cells of two or more: of those of ``most`` or fewer, as many at a time
+    as have pairs of two such cells, or one larger cell."""
+    held, pairs = [], 0
+    for o, k in zip(opens[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        if k > most:
+            yield np.arange(o, o + k)
+            continue
+        if held and pairs + k * k > 2 * most * most:
+            yield np.concatenate(held)
+            held, pairs = [], 0
+        held.append(np.arange(o, o + k))
+        pairs += k * k
+    if held:
+        yield np.concatenate(held)
+
+
+def _first_shared(x: np.ndarray, block: np.ndarray | int) -> np.ndarray:
+    """Whether fingerprints whose differing bits are ``x`` share no block before ``block``: a pair is
+    a candidate in the first of its cells only."""
+    first = np.ones(len(x), dtype=bool)
+    for k in range(int(np.max(block, initial=0))):
+        first &= (_block(x[:, k % WORDS], k // WORDS) != 0) | (block <= k)
+    return first
+
+
+def _rows(x: np.ndarray, y: np.ndarray | None = None) -> pa.RecordBatch:
+    """Candidates, or nodes of cells that were cut short."""
+    if y is None:
+        x = np.unique(x)
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64())], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def _leading(x: np.ndarray, *by: np.ndarray, most: int) -> np.ndarray:
+    """Which of the first ``most`` of each ``x`` in the order of ``by`` each row is among."""
+    order = np.lexsort((*by[::-1], x))
+    opens, size = _runs(x[order])
+    keep = np.zeros(len(x), dtype=bool)
+    keep[order[np.arange(len(x)) - np.repeat(opens, size) < most]] = True
+    return keep
+
+
+def _partners(x: np.ndarray, y: np.ndarray, f: np.ndarray, block: np.ndarray | int, score: np.ndarray, partners: int) -> np.ndarray:
+    """Which candidates y of each x to verify at first: in each block the most central one, to which
+    the copies of one text are closer than to each other, and in some the nearest ones."""
+    apart = _distance(f[x], f[y])
+    near = _leading(x, apart, y, most=-(-partners // 2)) & (block % PARTNER_BLOCKS == 0)
+    return near | _leading(x, -score[y], y, most=-(-partners // 4)) & _first_shared(f[x] ^ f[y], block)
+
+
+def _small(cell: np.ndarray, block: np.ndarray, node: np.ndarray, root: np.ndarray, f: np.ndarray, radius: int, partners: int | None) -> Iterator[pa.RecordBatch]:
+    found = list(_pairs(cell, f, radius, 1))
     if not found:
         return
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    a, b = np.minimum(a, b), np.maximum(a, b)
     across = root[a] != root[b]
     a, b = a[across], b[across]
     if not len(a):
         return
-    cut = np.zeros(0, dtype=np.int64)
+    keep = np.zeros(len(a), dtype=bool)
     if partners is not None:
-        cells = number[a]
-        dense = np.bincount(cells, minlength=number[-1] + 1) > partners * np.bincount(number[at], minlength=number[-1] + 1)
-        order = np.lexsort((b, a))
-        a, b, cells = a[order], b[order], cells[order]
-        opens, size = _runs(a)
-        rank = np.arange(len(a)) - np.repeat(opens, size)
-        chosen = (cell[a] >> BLOCK_BITS) % PARTNER_BLOCKS == 0
-        keep = ~dense[cells] | (chosen & (rank < partners))
-        cut = np.unique(np.concatenate([a[~keep], b[~keep]]))
-        a, b = a[keep], b[keep]
-    x, y = node[a], node[b]
-    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-    if len(cut):
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[cut])), pa.nulls(len(np.unique(node[cut])), pa.int64())], names=["a", "b"])
+        _, number = np.unique(cell, return_inverse=True)
+        dense = np.bincount(number[a], minlength=number[-1] + 1) > partners * np.bincount(number)
+        keep = dense[number[a]]
+        if keep.any():
+            x, y = np.concatenate([a[keep], b[keep]]), np.concatenate([b[keep], a[keep]])
+            score = np.bincount(x, weights=radius + 1 - _distance(f[x], f[y]), minlength=len(node))
+            chosen = _partners(x, y, f, block[x], score, partners)
+            if chosen.any():
+                yield _rows(node[x[chosen]], node[y[chosen]])
+            yield _rows(node[x])
+    a, b = a[~keep], b[~keep]
+    first = _first_shared(f[a] ^ f[b], block[a])
+    if first.any():
+        yield _rows(node[a[first]], node[b[first]])
+
+
+def _large(node: np.ndarray, root: np.ndarray, f: np.ndarray, block: int, radius: int, partners: int | None) -> Iterator[pa.RecordBatch]:
+    """The same of one large cell, all pairs by strips of rows, so that memory is bounded."""
+    n = len(node)
+    step = max(1, TILE // n)
+
+    def strips() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for at in range(0, n, step):
+            own = slice(at, min(n, at + step))
+            apart = np.zeros((own.stop - at, n), dtype=np.uint16)
+            for w in range(WORDS):
+                apart += np.bitwise_count(f[own, w][:, None] ^ f[None, :, w])
+            x, y = np.nonzero((apart <= radius) & (root[own][:, None] != root[None, :]))
+            yield x + at, y, apart[x, y].astype(np.int64)
+
+    if partners is not None:
+        score, ends = np.zeros(n), np.zeros(n, dtype=np.int64)
+        for x, y, apart in strips():
+            score += np.bincount(x, weights=radius + 1 - apart, minlength=n)
+            ends += np.bincount(x, minlength=n)
+        if ends.sum() > 2 * partners * n:
+            yield _rows(node[ends > 0])
+            for x, y, _ in strips():
+                keep = _partners(x, y, f, block, score, partners)
+                yield _rows(node[x[keep]], node[y[keep]])
+            return
+    for x, y, _ in strips():
+        x, y = x[x < y], y[x < y]
+        first = _first_shared(f[x] ^ f[y], block)
+        yield _rows(node[x[first]], node[y[first]])
 
 
 def _verified(found: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:

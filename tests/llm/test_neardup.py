@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -161,3 +162,50 @@ def test_keep_one_of_similar_texts(spark, monkeypatch, cell, partners):
     gone = set(range(len(rows))) - kept
     assert kept <= got and len(gone) > 200
     assert len(gone - got) >= 0.95 * len(gone)
+
+
+def candidates(f, radius, partners, most):
+    """Pairs and nodes of cells cut short, of fingerprints dealt out in one task; their numbers of rows."""
+    n = np.arange(len(f))
+    words = [pa.array(f[:, k].view(np.int64)) for k in range(neardup.WORDS)]
+    held = pa.RecordBatch.from_arrays([pa.array(n), pa.array(n), *words], names=["node", "root", *(f"w{k}" for k in range(neardup.WORDS))])
+    found = [r for out in neardup._candidates(radius, partners, most)(neardup._deal_blocks(iter([held]))) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    return {r for r in found if r[1] is not None}, {r[0] for r in found if r[1] is None}, len(found)
+
+
+def flipped(rng, f, bits):
+    g = f.copy()
+    for b in rng.choice(512, bits, replace=False):
+        g[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    return g
+
+
+@pytest.mark.parametrize("most", [2048, 50])
+def test_large_cells_are_searched_whole(monkeypatch, most):
+    """All pairs within the radius that share a block are candidates, once, however small ``CELL`` is:
+    one cell holds all fingerprints, which hardly share a second block."""
+    monkeypatch.setattr(neardup, "TILE", 1000)
+    rng = np.random.default_rng(3)
+    f = rng.integers(0, 1 << 63, (300, neardup.WORDS), dtype=np.uint64)
+    for i in range(150, 300):
+        f[i] = flipped(rng, f[i - 150], 80)
+    f[:, 0] &= ~np.uint64((1 << 14) - 1)
+    apart = np.bitwise_count(f[:, None] ^ f[None]).astype(int).sum(axis=2)
+    want = {(i, j) for i, j in zip(*np.nonzero(apart <= 90), strict=True) if i < j}
+    pairs, cut, n = candidates(f, 90, None, most)
+    assert pairs == want and len(want) > 140 and not cut and n == len(pairs)
+
+
+@pytest.mark.parametrize("most", [2048, 50])
+def test_copies_of_one_text_are_first_compared_with_it(most):
+    """Copies farther from each other than from their text: each has the text among its first partners,
+    all are told to be cut short, and first candidates grow with the copies only."""
+    rng = np.random.default_rng(4)
+    text = rng.integers(0, 1 << 63, neardup.WORDS, dtype=np.uint64)
+    sizes = []
+    for n in (400, 800):
+        f = np.array([*(flipped(rng, text, 46) for _ in range(n)), text])
+        pairs, cut, rows = candidates(f, 90, 4, most)
+        assert len({a for a, b in pairs if b == n}) > 0.95 * n and len(cut) > 0.95 * n
+        sizes.append(len(pairs))
+    assert sizes[1] < 2.3 * sizes[0]
