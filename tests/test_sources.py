@@ -141,6 +141,21 @@ def test_sql_functions(spark, frame):
     assert tuple(row) == ("Łódź & <co> :", "9780306406157", 1, "Łódź & <co> :  / $5\n~", "b?verb=ListRecords&metadataPrefix=marc21&set=s%20t", "UNI", "text", "desc_aacr2", "00000nam a2200000 i 4500")
 
 
+@pytest.mark.parametrize(
+    "made, same, python",
+    [
+        ("task_vendor_clean(fields, 'O''x')", "marc_stamp(marc_remove_subfield(marc_remove_fields(fields, '9..'), '856', '9'), 'O''x')", 0),
+    ],
+)
+def test_workflow_functions_leave_the_jvm_for_33x_only(spark, frame, made, same, python):
+    """The same as of the functions that they are made of, without a row going to Python for edits."""
+    catalog.register_all(spark)
+    frame.createOrReplaceTempView("r")
+    found = spark.sql(f"SELECT {made} AS x FROM r")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == python
+    assert found.collect() == spark.sql(f"SELECT {same} AS x FROM r").collect()
+
+
 def test_crosswalk_catalogue(spark):
     assert crosswalk_files.crosswalks(spark).count() == 27
     assert crosswalk_files.command("marc=>mods", "in'x.xml", "o") == "xsltproc --output 'o' 'marcxml-to-mods.xsl' 'in'\\''x.xml'"
