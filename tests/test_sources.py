@@ -145,6 +145,8 @@ def test_sql_functions(spark, frame):
     "made, same, python",
     [
         ("task_vendor_clean(fields, 'O''x')", "marc_stamp(marc_remove_subfield(marc_remove_fields(fields, '9..'), '856', '9'), 'O''x')", 0),
+        ("array_contains(marc_rda_check(leader, fields), 'aacr2_abbreviations')", "NOT marc_rda_expand(fields) <=> fields", 0),
+        ("task_rda_upgrade(leader, fields).fields", "marc_set_subfield(marc_rda_expand(marc_generate_33x(leader, marc_remove_subfield(fields, '245', 'h'))), '040', 'e', 'rda')", 1),
     ],
 )
 def test_workflow_functions_leave_the_jvm_for_33x_only(spark, frame, made, same, python):
