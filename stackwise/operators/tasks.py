@@ -15,7 +15,7 @@ from .reports import with_rda_issues
 
 def dedupe_exact(records: DataFrame) -> DataFrame:
     """Groups of records that share a match key."""
-    keyed = records.select("control_number", "record_no", udfs.call_once("marc_matchkey", "fields").alias("matchkey")).filter("matchkey IS NOT NULL")
+    keyed = records.select("control_number", "record_no", udfs.call_once("marc_matchkey_of", *E.match_key_parts("fields")).alias("matchkey")).filter("matchkey IS NOT NULL")
     each = F.array_sort(F.collect_list(F.struct("record_no", "control_number"))).alias("own")
     grouped = keyed.groupBy("matchkey").agg(F.count("*").alias("records"), each).filter("records > 1")
     return grouped.select("matchkey", "records", F.expr("transform(own, x -> x.control_number)").alias("control_numbers"), F.expr("transform(own, x -> x.record_no)").alias("record_nos")).orderBy(F.desc("records"), "matchkey")
@@ -27,8 +27,8 @@ def dedupe_fuzzy(records: DataFrame, threshold: float, block: str | None = None)
 
 def dedupe_keepers(records: DataFrame) -> DataFrame:
     """Of each group the record of highest rank; of equal ones the first."""
-    rank = udfs.call("marc_rank", "leader", "fields")
-    keyed = records.select("control_number", "record_no", udfs.call_once("marc_matchkey", "fields").alias("matchkey"), rank.alias("rank")).filter("matchkey IS NOT NULL")
+    rank = F.expr(E.rank("leader", "fields"))
+    keyed = records.select("control_number", "record_no", udfs.call_once("marc_matchkey_of", *E.match_key_parts("fields")).alias("matchkey"), rank.alias("rank")).filter("matchkey IS NOT NULL")
     best = F.min(F.struct((-F.col("rank.total")).alias("r"), "record_no", "control_number")).alias("best")
     grouped = keyed.groupBy("matchkey").agg(F.count("*").alias("records"), best).filter("records > 1")
     return grouped.select("matchkey", "records", F.col("best.control_number").alias("keep_control_number"), F.col("best.record_no").alias("keep_record_no"), (-F.col("best.r")).alias("keeper_rank")).orderBy(F.desc("records"), "matchkey")
