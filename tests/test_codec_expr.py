@@ -83,3 +83,11 @@ def test_keys_and_ranks(spark):
 def test_only_what_is_called_is_registered(spark):
     names = sql_tables.register_for(spark, "SELECT * FROM task_dedupe_exact('x')")
     assert names.index("read_marc") < names.index("task_dedupe_exact") and len(names) < 12
+
+
+def test_regular_xml_is_read_as_any_other():
+    whole = marcxml.HEADER + "".join(marcxml.write(leader, fields) for leader, fields in PLAIN + ODD) + marcxml.FOOTER
+    assert marcxml._regular(whole) == marcxml._any(whole) != []
+    for odd in (whole.replace("<leader>", "<!-- a --><leader>", 1), whole.replace('ind1=" " ', ""), whole.replace("</collection>", "<record></record></collection>"), whole.replace('code="a"', "code='a'", 1)):
+        assert marcxml._regular(odd) is None
+    assert marcxml._regular("") == marcxml._any("") == []
