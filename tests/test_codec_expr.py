@@ -91,3 +91,40 @@ def test_regular_xml_is_read_as_any_other():
     for odd in (whole.replace("<leader>", "<!-- a --><leader>", 1), whole.replace('ind1=" " ', ""), whole.replace("</collection>", "<record></record></collection>"), whole.replace('code="a"', "code='a'", 1)):
         assert marcxml._regular(odd) is None
     assert marcxml._regular("") == marcxml._any("") == []
+
+
+TRICKY = [
+    ("00000nam a2200000 a 4500", [control("001", "a\"b{}[]"), data('2"5', '"', " ", ("a", '}]}},{"x":"y'), ("\"", "q:"), ("b", "")), data("500", " ", " ")]),
+    ('00000n"m a2200000 a 4500', [control("008", ""), data("245", "1", "0", ("a", "back\\slash"))]),
+]
+
+
+@pytest.mark.parametrize("fmt", ["marc", "mrk", "marcjson"])
+def test_a_plain_piece_goes_to_the_jvm_whole(spark, tmp_path, fmt):
+    rows = PLAIN + (TRICKY if fmt != "marcjson" else [])
+    path = tmp_path / "records"
+    path.write_bytes(b"".join(WRITE[fmt](leader, fields) for leader, fields in rows))
+    sent = list(pieces.Read().eval(fmt, str(path), 0, path.stat().st_size, 1, 0, "auto", None, False))
+    assert len(sent) == 1 and sent[0][4] is not None
+    sql = f"SELECT record_no, file, field_no, tag, code, value FROM {dict(marc='read_marc_subfields', mrk='read_marc_breaker', marcjson='read_marcjson')[fmt]}('{path}')"
+    sql_tables.register_for(spark, sql)
+    want = [(n, k, f["tag"], c, v) for n, r in pieces.records(fmt, str(path), 0, 0, 1, 0) for k, f in enumerate(r["fields"], 1) for c, v in ([(None, f["value"])] if f["subfields"] is None else [(s["code"], s["value"]) for s in f["subfields"]])]
+    assert [(r.record_no, r.field_no, r.tag, r.code, r.value) for r in spark.sql(sql).collect()] == want
+
+
+@pytest.mark.parametrize("line", ['{"leader":"x","fields":[{"245":"no control field"}]}', '{"leader":"x","fields":[{"001":"\\u00e9"}]}', '{"leader":"x","fields":[{"245":{"ind1":"1","subfields":[]}}]}'])
+def test_other_json_is_read_by_python(line):
+    assert pieces.as_json("marcjson", line.encode()) is None
+
+
+def test_pieces_of_a_batch_are_small():
+    """Spark hands a hundred at a time to Python."""
+    assert 100 * pieces.PIECE <= 16 << 20
+
+
+@pytest.mark.parametrize("fmt", ["marc", "marcjson"])
+def test_plain_files_are_written_without_python(spark, tmp_path, monkeypatch, fmt):
+    monkeypatch.setattr(writers.udfs, "call", lambda *_: pytest.fail("Python was called"))
+    writers.write_records(frame(spark, PLAIN), f"{tmp_path}/o", fmt, single_file=True)
+    got = b"".join(f.read_bytes() for f in (tmp_path / "o").glob("part-*"))
+    assert got == b"".join(WRITE[fmt](leader, fields) for leader, fields in PLAIN)
