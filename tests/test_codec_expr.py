@@ -128,3 +128,18 @@ def test_plain_files_are_written_without_python(spark, tmp_path, monkeypatch, fm
     writers.write_records(frame(spark, PLAIN), f"{tmp_path}/o", fmt, single_file=True)
     got = b"".join(f.read_bytes() for f in (tmp_path / "o").glob("part-*"))
     assert got == b"".join(WRITE[fmt](leader, fields) for leader, fields in PLAIN)
+
+
+def test_a_file_of_both_paths_is_listed_once(tmp_path):
+    for name in ("a", "b", "c"):
+        (tmp_path / name).write_bytes(WRITE["marc"](*PLAIN[0]))
+    found = list(pieces.Both().eval("marc", f"{tmp_path}/[ab]", f"{tmp_path}/[bc]"))
+    assert [(p[0].rsplit("/", 1)[1], *p[4:]) for p in found] == [("a", True, False), ("b", True, True), ("c", False, True)]
+
+
+def test_matches_of_two_paths(spark, tmp_path):
+    for name in ("q", "t"):
+        (tmp_path / name).write_bytes(b"".join(WRITE["marc"](*r) for r in PLAIN))
+    sql = f"SELECT split_part(file_q, '/', -1), record_no_q, split_part(file_t, '/', -1), record_no_t, similarity FROM marc_nearest_matches_k('{tmp_path}/q', '{tmp_path}/[qt]', 2)"
+    sql_tables.register_for(spark, sql)
+    assert [tuple(r) for r in spark.sql(sql).collect()] == [("q", 1, "q", 1, 1.0), ("q", 1, "t", 1, 1.0)]
