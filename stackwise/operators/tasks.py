@@ -9,7 +9,7 @@ from ..functions import edits as D
 from ..functions import expr as E
 from ..functions import udfs
 from ..types import FIELD_DDL
-from .matching import dedupe_candidates
+from .matching import FUZZY_ORDER, dedupe_candidates
 from .reports import with_rda_issues
 
 
@@ -22,7 +22,7 @@ def dedupe_exact(records: DataFrame) -> DataFrame:
 
 
 def dedupe_fuzzy(records: DataFrame, threshold: float, block: str | None = None) -> DataFrame:
-    return dedupe_candidates(records, threshold, block).orderBy(F.desc("same_matchkey"), F.desc("similarity"))
+    return dedupe_candidates(records, threshold, block, FUZZY_ORDER)
 
 
 def dedupe_keepers(records: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stackwise.functions.text import jaro_winkler
 from stackwise.operators import matching
@@ -54,3 +55,26 @@ def test_records_without_a_match(keyed, monkeypatch):
 def test_no_block_in_the_registered_result(spark):
     """Records with one 245$a and different 245$b are candidates."""
     assert catalogue.QUERIES["dedupe_candidates"](spark, SF).filter("similarity = 1").count() == 2202
+
+
+@pytest.mark.parametrize("order", [(), matching.FUZZY_ORDER])
+def test_blocks_give_each_pair_once_in_order(keyed, spark, monkeypatch, order):
+    """Of several files and blocks; pairs are made after the last exchange, so none is shuffled."""
+    rows, frame = keyed
+    monkeypatch.setattr(matching, "_keyed", lambda records: records)
+    monkeypatch.setattr(matching, "FIRST", 8)
+    monkeypatch.setattr(matching, "SECOND", 32)
+    frame = frame.withColumn("file", F.expr("concat('f', record_no % 3)"))
+    found = matching.dedupe_candidates(frame, 0.8, order=order)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") and plan.index("posexplode(record_nos_b") < plan.index("Exchange")
+    got = [tuple(r) for r in found.collect()]
+    want = []
+    for x in rows:
+        for y in rows:
+            a, b = (f"f{x[1] % 3}", x[1]), (f"f{y[1] % 3}", y[1])
+            sim, same = jaro_winkler(x[3], y[3]), x[5] is not None and x[5] == y[5]
+            if a < b and (same or (sim is not None and sim >= 0.8)):
+                want.append((*a, *b, x[2], y[2], sim, same))
+    want.sort(key=lambda r: ((not r[7], 1 if r[6] is None else -r[6]) if order else ()) + r[:4])
+    assert got == want
