@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stackwise.functions.text import jaro_winkler
 from stackwise.operators import matching
-from stackwise.plans import catalogue
+from stackwise.plans import catalogue, tables  # noqa: F401  (registers the queries of the table functions)
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,6 +64,7 @@ def test_blocks_give_each_pair_once_in_order(keyed, spark, monkeypatch, order):
     monkeypatch.setattr(matching, "_keyed", lambda records: records)
     monkeypatch.setattr(matching, "FIRST", 8)
     monkeypatch.setattr(matching, "SECOND", 32)
+    monkeypatch.setattr(matching, "COPIES", matching.COPIES.replace("1024", "4"))
     frame = frame.withColumn("file", F.expr("concat('f', record_no % 3)"))
     found = matching.dedupe_candidates(frame, 0.8, order=order)
     plan = found._jdf.queryExecution().executedPlan().toString()
@@ -78,3 +79,9 @@ def test_blocks_give_each_pair_once_in_order(keyed, spark, monkeypatch, order):
                 want.append((*a, *b, x[2], y[2], sim, same))
     want.sort(key=lambda r: ((not r[7], 1 if r[6] is None else -r[6]) if order else ()) + r[:4])
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["sql_dedupe_candidates", "sql_task_dedupe_fuzzy"])
+def test_table_functions_shuffle_no_pairs(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("posexplode(record_nos_b") and plan.index("posexplode(record_nos_b") < plan.index("Exchange")
